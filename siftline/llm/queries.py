@@ -4,13 +4,36 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siftline.llm import bpe
+from siftline.llm import bpe, flac
 from siftline.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op2_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text as 8-bit samples in a FLAC file, read back by the decoder; null and empty texts are one block of padding."""
+    raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    n = F.octet_length(raw)
+    padded = F.greatest(F.ceil(n / flac.BLOCK), F.lit(1)).cast("int") * flac.BLOCK
+    fill = F.to_binary(F.repeat(F.lit("FF"), padded - n), F.lit("hex"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(raw, fill).alias("payload"), n.cast("long").alias("n_bytes"))
+    read = flac.decode(flac.store_bytes(docs, "payload").drop("payload"))
+    payload = F.to_binary(F.array_join(F.transform("blocks", lambda b: F.hex(b["pcm"])), ""), F.lit("hex"))
+    read = read.select("doc_id", "n_bytes", "media", "feature", payload.alias("payload"))
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -32, 32)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode(docs, RANKS, public_tokenizers.PATTERN).drop("text")
@@ -18,6 +41,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_flac": op2_flac,
     "op6_byte_bpe": op6_byte_bpe,
 }
 
