@@ -107,29 +107,55 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
         return mix(out)
 
 
+#: Bits of a shingle hash in a set; the rest of a word sorts by document. A piece has fewer than 2**12 documents.
+SET_BITS = 52
+MOST_DOCS = 1 << (64 - SET_BITS)
+
+
+def doc_windows(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the k-word windows that lie within one document, their first words, and their documents."""
+    many = np.maximum(np.diff(first) - (k - 1), 0)
+    doc = np.repeat(np.arange(len(many)), many)
+    at = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[:-1], many)
+    return window_hashes(h, k)[at] if len(at) else np.zeros(0, U), at, doc
+
+
 def shingle_sets(raw: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct k-word shingle hashes of each document, end to end, and their offsets.
+    """Sorted distinct k-word shingle hashes (of SET_BITS) of each document, end to end, and their offsets.
 
     A document with fewer than k words has its whole word sequence as one shingle; one without words has none.
     """
     s, e, first = words(raw, off)
     h = span_hashes(raw, s, e)
-    docs = len(off) - 1
-    count = np.diff(first)
-    many = np.maximum(count - (k - 1), np.minimum(count, 1))
-    out_off = np.zeros(docs + 1, np.int64)
-    np.cumsum(many, out=out_off[1:])
-    doc = np.repeat(np.arange(docs), many)
-    at = np.arange(out_off[-1]) - out_off[doc] + first[doc]
-    shingles = np.empty(out_off[-1], U)
-    full = count[doc] >= k
-    if full.any():
-        shingles[full] = window_hashes(h, k)[at[full]]
-    for d in np.flatnonzero((count > 0) & (count < k)):
-        shingles[out_off[d]] = window_hashes(h[first[d] : first[d + 1]], int(count[d]))[0] ^ U(int(count[d]))
-    order = np.lexsort((shingles, doc)) if len(doc) else np.zeros(0, np.int64)
-    doc, shingles = doc[order], shingles[order]
-    fresh = np.ones(len(doc), bool)
-    fresh[1:] = (doc[1:] != doc[:-1]) | (shingles[1:] != shingles[:-1])
-    sizes = np.bincount(doc[fresh], minlength=docs)
-    return shingles[fresh], np.concatenate(([0], np.cumsum(sizes)))
+    docs, count = len(off) - 1, np.diff(first)
+    if docs > MOST_DOCS:
+        raise ValueError(f"a piece has {MOST_DOCS} documents at most")
+    hashes, _, doc = doc_windows(h, first, k)
+    short = np.flatnonzero((count > 0) & (count < k))
+    if len(short):
+        own = [window_hashes(h[first[d] : first[d + 1]], int(count[d]))[0] ^ U(int(count[d])) for d in short]
+        hashes, doc = np.concatenate([hashes, np.array(own, U)]), np.concatenate([doc, short])
+    both = np.sort((doc.astype(U) << U(SET_BITS)) | (hashes >> U(64 - SET_BITS)))
+    if len(both):
+        both = both[np.concatenate(([True], both[1:] != both[:-1]))]
+    sizes = np.bincount((both >> U(SET_BITS)).astype(np.int64), minlength=docs)
+    return both & U((1 << SET_BITS) - 1), np.concatenate(([0], np.cumsum(sizes)))
+
+
+def repeated(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which of the hashes occur twice or more in their document."""
+    with np.errstate(over="ignore"):
+        own = hashes ^ mix(doc.astype(U) + U(1))
+    order = np.argsort(own)
+    v = own[order]
+    same = v[1:] == v[:-1]
+    out = np.zeros(len(own), bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out
+
+
+def code_points(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Characters in each raw[start:end] of UTF-8."""
+    total = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80, dtype=np.int64)))
+    return total[ends] - total[starts]

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 #: Bytes of text that a Python operator takes at a time, unless a single text is longer.
 PIECE_BYTES = 4 << 20
+PIECE_ROWS = 4000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,7 +33,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_BY
         at = 0
         while at < batch.num_rows:
             stop = at + 1
-            while stop < batch.num_rows and off[stop + 1] - off[at] <= limit:
+            while stop < batch.num_rows and stop - at < PIECE_ROWS and off[stop + 1] - off[at] <= limit:
                 stop += 1
             yield batch.slice(at, stop - at)
             at = stop
@@ -78,5 +79,18 @@ def fits(df: DataFrame, most: int) -> bool:
     return df.limit(most + 1).count() <= most
 
 
+def sample_per_class(df: DataFrame, label: str, per_class: int, key: str, classes: int = 200, seed: int = 7) -> DataFrame:
+    """About per_class rows of each label, drawn by a hash of `key`: the bounded sample that a classifier is fitted on.
+
+    Of more than `classes` labels, those with the most rows. The class counts are over all rows.
+    """
+    counts = df.filter(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(classes).collect()
+    share = F.lit(0.0)
+    for row in counts:
+        share = F.when(F.col(label) == row[0], F.lit(min(1.0, per_class / row["count"]))).otherwise(share)
+    u = F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.lit(1 << 30)) / float(1 << 30)
+    return df.filter(F.col(label).isNotNull() & (u < share))
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

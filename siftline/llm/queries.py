@@ -6,12 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import bpe, flac
+from siftline.llm import bpe, flac, langid, linecrf
 from siftline.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linecrf.judge(docs, linecrf.train(docs, table(spark, sf_dir, "labels"))).drop("text")
+
+
 def op2_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text as 8-bit samples in a FLAC file, read back by the decoder; null and empty texts are one block of padding."""
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
@@ -40,9 +45,17 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.decode(coded, RANKS, public_tokenizers.PATTERN))
 
 
+def op10_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs)
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
+    "op1_line_crf": op1_line_crf,
     "op2_flac": op2_flac,
     "op6_byte_bpe": op6_byte_bpe,
+    "op10_string_kernel": op10_string_kernel,
 }
 
 ORACLES: dict[str, str] = {}
