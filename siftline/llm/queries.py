@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import bpe, flac, langid, linecrf
+from siftline.llm import bpe, flac, langid, linecrf, mixing, sentspans, urllm
 from siftline.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -39,12 +39,29 @@ def op2_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Host and path prefix, and what is said of them; the longest that fits wins.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op3_url_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urllm.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode(docs, RANKS, public_tokenizers.PATTERN).drop("text")
     return bpe.digest(bpe.decode(coded, RANKS, public_tokenizers.PATTERN))
 
 
+def op8_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentspans.remove_repeats(docs)
+
+
 def op10_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs)
@@ -54,8 +71,45 @@ def op10_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_crf": op1_line_crf,
     "op2_flac": op2_flac,
+    "op3_url_models": op3_url_models,
     "op6_byte_bpe": op6_byte_bpe,
+    "op8_poisson_mix": op8_poisson_mix,
+    "op9_sentence_spans": op9_sentence_spans,
     "op10_string_kernel": op10_string_kernel,
 }
 
-ORACLES: dict[str, str] = {}
+_OP8_SQL = f"""
+WITH docs AS (
+  SELECT *, coalesce(source, '') AS src, source IS NOT NULL AS has,
+         coalesce(CAST(doc_id AS VARCHAR), 'text' || md5(coalesce(text, ''))) AS ident
+  FROM documents
+), sizes AS (
+  SELECT src, has, CAST(sum(coalesce(length(text), 0)) AS DOUBLE) AS chars FROM docs GROUP BY src, has
+), rated AS (
+  SELECT src, has,
+         CASE WHEN chars > 0 THEN pow(chars, {mixing.TEMPERATURE}) / (SELECT sum(pow(chars, {mixing.TEMPERATURE})) FROM sizes)
+              * (SELECT sum(chars) FROM sizes) / chars ELSE 1.0 END AS rate
+  FROM sizes
+), parts AS (
+  SELECT src, has, CAST(greatest(ceil(rate / {mixing.MAX_RATE}), 1) AS BIGINT) AS n_parts, rate / greatest(ceil(rate / {mixing.MAX_RATE}), 1) AS r
+  FROM rated
+), pmf AS (
+  SELECT src, has, n_parts, k, exp(-r + k * ln(r) - lgamma(k + 1.0)) AS p
+  FROM (SELECT *, unnest(range(0, CAST(ceil(r + 12 * sqrt(r) + 16) AS BIGINT) + 1)) AS k FROM parts)
+), cdf AS (
+  SELECT src, has, n_parts, k, sum(p) OVER (PARTITION BY src, has ORDER BY k) AS c FROM pmf
+), draws AS (
+  SELECT DISTINCT ident, src, has, i,
+         CAST(('0x' || substr(md5('{mixing.SEED}:' || CAST(i AS VARCHAR) || ':' || ident), 1, 13)) AS BIGINT) / pow(2.0, 52) AS u
+  FROM (SELECT ident, d.src, d.has, unnest(range(1, n_parts + 1)) AS i FROM docs d JOIN parts USING (src, has))
+), counted AS (
+  SELECT ident, d.src, d.has, CAST(count(*) AS INTEGER) AS n_copies
+  FROM draws d JOIN cdf USING (src, has) WHERE cdf.c <= d.u GROUP BY ident, d.src, d.has
+), copies AS (
+  SELECT doc_id, text, lang, source, n_chars, n_copies, unnest(range(0, n_copies)) AS replica
+  FROM docs JOIN counted USING (ident, src, has)
+)
+SELECT doc_id, text, lang, source, n_chars, n_copies, CAST(replica AS INTEGER) AS replica FROM copies
+"""
+
+ORACLES: dict[str, str] = {"op8_poisson_mix": _OP8_SQL}
