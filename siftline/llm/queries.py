@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import bpe, flac, langid, linecrf, mixing, sentspans, urllm
+from siftline.llm import bpe, flac, langid, linecrf, mixing, neardup, sentspans, urllm
 from siftline.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -47,6 +47,10 @@ def op3_url_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urllm.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
 
+def op5_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode(docs, RANKS, public_tokenizers.PATTERN).drop("text")
@@ -72,6 +76,7 @@ QUERIES = {
     "op1_line_crf": op1_line_crf,
     "op2_flac": op2_flac,
     "op3_url_models": op3_url_models,
+    "op5_minhash_join": op5_minhash_join,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_poisson_mix": op8_poisson_mix,
     "op9_sentence_spans": op9_sentence_spans,
