@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import bpe, flac, langid, linecrf, mixing, neardup, sentspans, urllm
+from siftline.llm import bpe, flac, langid, linecrf, mixing, neardup, pii, sentspans, urllm
 from siftline.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -57,6 +57,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.decode(coded, RANKS, public_tokenizers.PATTERN))
 
 
+def op7_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -78,6 +82,7 @@ QUERIES = {
     "op3_url_models": op3_url_models,
     "op5_minhash_join": op5_minhash_join,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_disclosure": op7_disclosure,
     "op8_poisson_mix": op8_poisson_mix,
     "op9_sentence_spans": op9_sentence_spans,
     "op10_string_kernel": op10_string_kernel,
