@@ -62,18 +62,23 @@ def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def words(raw: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word, and the index of the first word of each document (and one past the last).
+#: ASCII letters and digits, and everything beyond ASCII.
+WORD_BYTES = np.zeros(256, bool)
+WORD_BYTES[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
-    A document's edge ends a word: texts that meet in the byte array don't run together.
+
+def runs(raw: np.ndarray, off: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each run of bytes in the set `of`, and the index of the first run of each document (and one past the last).
+
+    A document's edge ends a run: texts that meet in the byte array don't run together.
     """
     n = len(raw)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    inside = ~_IS_SPACE[raw]
+    inside = of[raw]
     start = inside.copy()
     start[1:] &= ~inside[:-1]
-    edges = off[:-1][(off[:-1] < n) & (off[1:] > off[:-1])]
+    edges = off[:-1][off[1:] > off[:-1]]
     start[edges] = inside[edges]
     end = inside.copy()
     end[:-1] &= ~inside[1:]
@@ -83,6 +88,11 @@ def words(raw: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[np.ndar
     return s, e, np.searchsorted(s, off)
 
 
+def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of anything but the six ASCII white-space bytes."""
+    return runs(raw, off, ~_IS_SPACE)
+
+
 def span_hashes(raw: np.ndarray, s: np.ndarray, e: np.ndarray, lower: bool = True) -> np.ndarray:
     """A 64-bit hash of each raw[s:e]; A-Z count as a-z if lower."""
     if not len(s):

@@ -45,11 +45,11 @@ def rates(df: DataFrame, weights: dict[str, float] | None = None, epochs: float
         for name, w in weights.items():
             wish = F.when(F.col("has_source") & (F.col("mix_source") == name), F.lit(float(w))).otherwise(wish)
     sizes = sizes.withColumn("wish", wish)
-    total = sizes.agg(F.sum("chars").alias("all_chars"), F.sum("wish").alias("all_wish"))
-    both = sizes.join(F.broadcast(total))  # one row
-    share = F.when(F.col("all_wish") > 0, F.col("wish") / F.col("all_wish")).otherwise(0.0)
-    rate = F.when(F.col("chars") > 0, share * F.col("all_chars") * epochs / F.col("chars")).otherwise(epochs)
-    return both.select("mix_source", "has_source", "chars", share.alias("share"), rate.alias("rate"))
+    total = sizes.agg(F.sum("chars").alias("chars"), F.sum("wish").alias("wish")).first()
+    chars, wishes = F.lit(total["chars"] or 0.0), total["wish"] or 0.0
+    share = F.col("wish") / F.lit(wishes) if wishes > 0 else F.lit(0.0)
+    rate = F.when(F.col("chars") > 0, share * chars * epochs / F.col("chars")).otherwise(epochs)
+    return sizes.select("mix_source", "has_source", "chars", share.alias("share"), rate.alias("rate"))
 
 
 def _cdf(rate: Column) -> Column:

@@ -125,8 +125,7 @@ def disclosures(df: DataFrame, near: DataFrame, text_col: str, min_support: int
     wanted = F.broadcast(wanted) if fits(wanted, MOST_TERMS) else wanted
     tokens = df.select(F.explode(F.array_distinct(F.split(F.lower(text_col), r"\P{L}+"))).alias("term"))
     with_term = tokens.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    total = df.agg(F.count(F.lit(1)).alias("n"))
-    rows = joint.join(with_entity, "entity").join(with_term, "term").join(F.broadcast(total))  # one row
+    rows = joint.join(with_entity, "entity").join(with_term, "term").withColumn("n", F.lit(df.count()))
     # repeated rows count once where terms stand near entities, and each time here: never less
     pmi = F.log2(F.col("n_both") * F.col("n") / (F.greatest("n_term", "n_both") * F.col("n_entity")))
     ic = F.log2(F.col("n") / F.col("n_entity"))

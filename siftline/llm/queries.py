@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import bpe, flac, langid, linecrf, mixing, neardup, pii, sentspans, urllm
+from siftline.llm import bpe, flac, langid, linecrf, mixing, neardup, pii, sentspans, toxicity, urllm
 from siftline.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -47,6 +47,11 @@ def op3_url_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urllm.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
 
+def op4_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.judge(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))).drop("text")
+
+
 def op5_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -80,6 +85,7 @@ QUERIES = {
     "op1_line_crf": op1_line_crf,
     "op2_flac": op2_flac,
     "op3_url_models": op3_url_models,
+    "op4_classifier_chain": op4_classifier_chain,
     "op5_minhash_join": op5_minhash_join,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_disclosure": op7_disclosure,

@@ -31,8 +31,6 @@ MIN_WORDS = 20
 LONG_WORDS = 50
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?,;:|"]] = True
-_WORD_BYTE = np.zeros(256, bool)
-_WORD_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
 class Spans:
@@ -49,7 +47,7 @@ class Spans:
             at = e - back
             suffix &= at >= s
             byte = raw[np.maximum(at, 0)] if n else raw[:0]
-            suffix &= ~_WORD_BYTE[byte]
+            suffix &= ~b.WORD_BYTES[byte]
             ends |= suffix & _ENDS[byte]
         lines = np.concatenate(([0], np.cumsum(raw == 10)))
         if n:
