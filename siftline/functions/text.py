@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siftline.functions import once
+
 # Characters that are removed, currency names and top-level domains of bare addresses.
 INVISIBLE = "​‌‍‎‏‪‫‬‭‮⁠﻿­"
 CURRENCIES = {"₹": "INR", "rs": "INR", "rs.": "INR", "inr": "INR", "rupees": "INR", "$": "USD", "usd": "USD", "dollars": "USD", "€": "EUR", "eur": "EUR"}
@@ -114,7 +116,10 @@ def reference_numbers(col: Column) -> Column:
 
 def entities(col: Column) -> Column:
     """All entities of a text as one struct."""
-    text = refang(col)
+    return once(refang(col), _entities)
+
+
+def _entities(text: Column) -> Column:
     return F.struct(
         urls(text).alias("urls"),
         emails(text).alias("emails"),
