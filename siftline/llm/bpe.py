@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftline.llm.common import map_texts
+from siftline.llm.common import map_arrow, map_texts
 
 SPLIT_CHARS = 1 << 16
 #: A stretch without a safe boundary goes to the library's own regular expression up to this length.
@@ -98,12 +98,12 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "token_ids", b
     def run(batches):
         made = codec(path, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
                 raw = pa.array([made.decode(x or []) for x in part.column(ids_col).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in keep), raw], names=out.names)
 
-    return df.mapInArrow(run, out)
+    return map_arrow(df, run, out)
 
 
 def digest(df: DataFrame, ids_col: str = "token_ids", bytes_col: str = "decoded") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that a Python operator takes at a time, unless a single text is longer.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 PIECE_ROWS = 4000
 
 
@@ -39,6 +39,20 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_BY
             at = stop
 
 
+#: Arrow batches between the JVM and Python hold so many bytes at most; Spark's default suits narrow rows only.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """df.mapInArrow(fn, schema) with batches of bounded bytes: the session's limit is lowered, never raised."""
+    conf = df.sparkSession.conf
+    now = conf.get(_BATCH, "").removesuffix("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:  # a limit with a unit is set anew
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df.mapInArrow(fn, schema)
+
+
 def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: T.StructType, column: str = "text") -> DataFrame:
     """fn over slices of bounded size of df's batches; narrow, so a lost task is run again alone."""
 
@@ -46,7 +60,7 @@ def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
         for piece in pieces(batches, column):
             yield fn(piece)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from siftline.llm.common import pieces
+from siftline.llm.common import map_arrow, pieces
 
 BLOCK = 576
 #: Samples in a PCM block that the decoder writes; its offsets are multiples of this.
@@ -614,7 +614,7 @@ def store_bytes(df: DataFrame, bytes_col: str, media_col: str = "media", block:
         media = pa.array([None if d is None else next(made) for d in data], pa.binary())
         return pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), media], names=out.names)
 
-    return df.mapInArrow(run, out)
+    return map_arrow(df, run, out)
 
 
 PCM = T.ArrayType(T.StructType([T.StructField("sample_offset", T.LongType(), False), T.StructField("n_samples", T.IntegerType(), False), T.StructField("pcm", T.BinaryType(), False)]), False)
@@ -642,4 +642,4 @@ def decode(df: DataFrame, media_col: str = "media", pcm_block: int = PCM_BLOCK)
             arrays = [pa.array(c, t) for c, t in zip(cols, [pa.int32(), pa.int32(), pa.int32(), kinds, pa.string(), pa.string()])]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), *arrays], names=out.names)
 
-    return df.mapInArrow(run, out)
+    return map_arrow(df, run, out)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftline.llm import bytes_np as b
-from siftline.llm.common import cut, pieces
+from siftline.llm.common import cut, map_arrow, pieces
 from siftline.llm.graph import components
 
 SHINGLE_WORDS = 5
@@ -187,7 +187,7 @@ def sketch(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
             cols = [batch.column(id_col), batch.column("row_key"), pa.array(size), pa.array(h1, mask=none), pa.array(h2, mask=none), pa.array(sig, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return df.select(id_col, row_key(id_col, text_col).alias("row_key"), text_col).mapInArrow(run, schema)
+    return map_arrow(df.select(id_col, row_key(id_col, text_col).alias("row_key"), text_col), run, schema)
 
 
 def _families(classes: DataFrame, matches: int, percent: int) -> DataFrame:
@@ -201,7 +201,7 @@ def _families(classes: DataFrame, matches: int, percent: int) -> DataFrame:
                 keys = _sigs(part).astype(np.int64) | (np.arange(COORDS, dtype=np.int64) << 32)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("node").to_numpy(), COORDS)), pa.array(keys.ravel())], names=element.names)
 
-    posts = classes.select("node", "sig").mapInArrow(elements, element)
+    posts = map_arrow(classes.select("node", "sig"), elements, element)
     frequent = posts.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     of_class = posts.join(frequent, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("own"))
     # a class's unique pairs come first in its prefix; the rest of the prefix are the rarest of the others
@@ -223,7 +223,7 @@ def _families(classes: DataFrame, matches: int, percent: int) -> DataFrame:
                 edges += [(node[i], node[j]) for j in _partners(i, sig, n, block, across, matches, percent).tolist() if forest.join(i, j)]
             yield edges
 
-    return components(rows.mapInArrow(lambda batches: _flush(forests(batches)), _EDGE))
+    return components(map_arrow(rows, lambda batches: _flush(forests(batches)), _EDGE))
 
 
 def _confirmed(df: DataFrame, classes: DataFrame, families: DataFrame, id_col: str, text_col: str, words: int, matches: int, percent: int) -> DataFrame:
@@ -241,7 +241,7 @@ def _confirmed(df: DataFrame, classes: DataFrame, families: DataFrame, id_col: s
             own = pa.array([sets[a:z].tobytes() for a, z in zip(off, off[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in schema.names[:-1]), own], names=schema.names)
 
-    rows = _block_pairs(texts.mapInArrow(full, schema).join(sizes, "root"), "blocks")
+    rows = _block_pairs(map_arrow(texts, full, schema).join(sizes, "root"), "blocks")
     rows = _meet(rows, ["root", "bi", "bj"])
 
     def check(batches):
@@ -264,7 +264,7 @@ def _confirmed(df: DataFrame, classes: DataFrame, families: DataFrame, id_col: s
                             edges.append((node[i], node[j]))
             yield edges
 
-    return rows.mapInArrow(lambda batches: _flush(check(batches)), _EDGE)
+    return map_arrow(rows, lambda batches: _flush(check(batches)), _EDGE)
 
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, percent: int = PERCENT, matches: int = MATCHES) -> DataFrame:

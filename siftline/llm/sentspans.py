@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftline.llm import bytes_np as b
-from siftline.llm.common import fresh, pieces
+from siftline.llm.common import fresh, map_arrow, pieces
 
 SENTENCES = 3
 MIN_WORDS = 20
@@ -117,7 +117,7 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
             cols = [batch.column(id_col).take(pa.array(doc)), batch.column(tag).take(pa.array(doc)), pa.array((at - sp.first[doc]).astype(np.int32)), pa.array(h.view(np.int64))]
             yield pa.RecordBatch.from_arrays(cols, names=row.names)
 
-    all_spans = df.select(id_col, tag, text_col).mapInArrow(spans, row)
+    all_spans = map_arrow(df.select(id_col, tag, text_col), spans, row)
     id_of = F.col(id_col)
     shared = all_spans.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(id_of).alias("first_id")).filter("n > 1").select("h", "first_id")
     later = all_spans.join(shared, "h").filter(~id_of.eqNullSafe(F.col("first_id")))
@@ -136,4 +136,4 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
             cols = [new if f.name == text_col else batch.column(f.name) for f in keep]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(np.diff(sp.first)), pa.array(gone)], names=out.names)
 
-    return joined.mapInArrow(clean, out)
+    return map_arrow(joined, clean, out)
