@@ -47,7 +47,7 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
     """df.mapInArrow(fn, schema) with batches of bounded bytes: the session's limit is lowered, never raised."""
     conf = df.sparkSession.conf
-    now = conf.get(_BATCH, "").removesuffix("b")
+    now = conf.get(_BATCH).removesuffix("b")
     if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:  # a limit with a unit is set anew
         conf.set(_BATCH, str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
