@@ -106,6 +106,20 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "token_ids", b
     return map_arrow(df, run, out)
 
 
+def round_trip(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids", bytes_col: str = "decoded") -> DataFrame:
+    """encode() and decode() in one pass: the ids don't cross to the JVM and back, and a task has one Python worker."""
+    keep = [f for f in df.schema.fields if f.name not in (ids_col, bytes_col)]
+    out = T.StructType([*keep, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False), T.StructField(bytes_col, T.BinaryType(), False)])
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = codec(path, pattern)
+        ids = [made.encode(t or "") for t in batch.column(text_col).to_pylist()]
+        raw = pa.array(map(made.decode, ids), pa.binary(), size=len(ids))
+        return pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), pa.array(ids, pa.list_(pa.int32())), raw], names=out.names)
+
+    return map_texts(df, run, out, text_col)
+
+
 def digest(df: DataFrame, ids_col: str = "token_ids", bytes_col: str = "decoded") -> DataFrame:
     """doc_id with the number of ids, and the SHA-256 of the ids in decimal and of the decoded bytes."""
     return df.select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -50,7 +52,26 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     now = conf.get(_BATCH).removesuffix("b")
     if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:  # a limit with a unit is set anew
         conf.set(_BATCH, str(BATCH_BYTES))
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(_released(batches))
+        release()
+
+    return df.mapInArrow(run, schema)
+
+
+def release() -> None:
+    """Gives freed memory back: workers are kept for later tasks, and would hold what their largest one took."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch
+        del batch
+        release()
 
 
 def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: T.StructType, column: str = "text") -> DataFrame:

@@ -58,8 +58,7 @@ def op5_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.encode(docs, RANKS, public_tokenizers.PATTERN).drop("text")
-    return bpe.digest(bpe.decode(coded, RANKS, public_tokenizers.PATTERN))
+    return bpe.digest(bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN))
 
 
 def op7_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
