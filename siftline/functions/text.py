@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftline.functions import once
 
@@ -28,7 +29,7 @@ AMOUNT = rf"(?iU)(₹|rs\.?|inr|\$|usd|€|eur)\s*({_NUMBER})|({_NUMBER})\s*(rs\
 REFERENCE = r"(?iU)\b(?:utr|rrn|ref(?:erence)?|txn|transaction)\s*(?:no\.?|id|number|#)?\s*[:\-]?\s*([A-Z0-9]{8,22})\b"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftline.functions.text import clean_text, nfkc, refang, strip
 
@@ -134,7 +135,7 @@ def normalize_url(url: Column) -> Column:
 URL_INFO = "struct<original:string,canonical:string,scheme:string,host:string,display_host:string,registered_domain:string,tld:string,subdomain_depth:int,port:int,path:string,query_params:map<string,string>,is_ip_host:boolean,is_punycode:boolean,is_shortener:boolean,has_credentials:boolean,uses_https:boolean>"
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _idna(hosts: pd.Series) -> pd.Series:
     def show(h):
         try:

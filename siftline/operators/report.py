@@ -14,6 +14,7 @@ from siftline.functions.text import plural, snippet
 from siftline.operators.checks import check
 from siftline.operators.redact import redact
 from siftline.operators.timeline import build_timeline
+from siftline.storage import settle
 
 REPORT_VERSION = "1.0"
 # Events of the attempt log, what they are and how they end; channels.
@@ -176,10 +177,15 @@ def assemble(s: Sections, issue_summary: DataFrame, generated_at: str, zone: str
 
 
 def build_report(records: DataFrame, generated_at: str, zone: str = DEFAULT_ZONE, redacted: bool = True) -> DataFrame:
-    """M3 to M6 on records: a report row for each case. The evidence is redacted within its case, then the whole report."""
-    timeline, summary = build_timeline(records, zone)
+    """M3 to M6 on records: a report row for each case. The evidence is redacted within its case, then the whole report.
+
+    Records, timeline, issues and the report are settled in between: each is used by several sections.
+    """
+    records = settle(records)
+    timeline, summary = (settle(df) for df in build_timeline(records, zone))
     issues, issue_summary = check(timeline)
-    shown = redact(records).drop("redactions") if redacted else records
+    issues = settle(issues)
+    shown = settle(redact(records).drop("redactions")) if redacted else records
     s = sections(timeline, summary, issues, issue_summary, shown, redacted)
-    report = assemble(s, issue_summary, generated_at, zone, redacted)
+    report = settle(assemble(s, issue_summary, generated_at, zone, redacted))
     return redact(report, order=None).drop("redactions") if redacted else report

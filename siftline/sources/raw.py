@@ -83,7 +83,7 @@ def read_documents(spark: SparkSession, path: str, item_schema: str, list_field:
 # ------------------------------------------------------------- structured text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _csv_rows(texts: pd.Series) -> pd.Series:
     amount_names = set(ALIASES["amount"])
 
