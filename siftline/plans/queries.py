@@ -17,6 +17,7 @@ from siftline.operators.ingest import ingest
 from siftline.operators.redact import redact_text
 from siftline.operators.timeline import build_timeline
 from siftline.sources.raw import upsert
+from siftline.storage import settle
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,7 +107,9 @@ def conversation_issues(spark, sf_dir):
     none = F.lit(None).cast("string")
     meta = F.create_map(F.lit("sender"), F.col("role"))
     raw = c.select(F.col("conv_id").cast("string").alias("case_id"), F.col("turn").cast("int").alias("rec_ord"), F.lit("conversations").alias("source"), "text", F.lit(None).cast("binary").alias("bytes"), none.alias("json"), F.lit("message").alias("forced_type"), meta.alias("metadata"))
-    issues, _ = check(build_timeline(extract(ingest(raw)))[0])
+    # each step's table is used several times by the next one
+    records = settle(extract(settle(ingest(raw))))
+    issues, _ = check(settle(build_timeline(records)[0]))
     return issues.groupBy("issue_type", "severity").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("case_id").alias("cases"))
 
 
