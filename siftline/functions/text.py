@@ -1,7 +1,7 @@
 """Text normalisation and entity extraction as Column expressions.
 
-Patterns use (?U), so that \\w, \\d and \\b are Unicode. Repeated groups are bounded: a long run of dots
-must not exhaust the stack of the regular expression engine.
+Patterns use (?U), so that \\w, \\d and \\b are Unicode. Repetitions are bounded where a match could begin at
+every character: a long run must neither exhaust the regular expression engine's stack nor be rescanned from each place.
 """
 
 from __future__ import annotations
@@ -20,9 +20,9 @@ INVISIBLE = "​‌‍‎‏‪‫‬‭‮⁠﻿­"
 CURRENCIES = {"₹": "INR", "rs": "INR", "rs.": "INR", "inr": "INR", "rupees": "INR", "$": "USD", "usd": "USD", "dollars": "USD", "€": "EUR", "eur": "EUR"}
 BARE_TLDS = ["com", "in", "net", "org", "info", "xyz", "top", "online", "site", "club", "co", "io", "ly", "me", "app", "link", "live", "shop", "biz"]
 
-_NUMBER = r"\d{1,3}(?:,\d{2,3}){1,20}(?:\.\d{1,2})?|\d+(?:\.\d{1,2})?"
+_NUMBER = r"\d{1,3}(?:,\d{2,3}){1,20}(?:\.\d{1,2})?|\d{1,40}(?:\.\d{1,2})?"
 URL = rf"(?iU)(?<![@\w.-])((?:https?://|www\.)[^\s<>\"'()]+|(?:[a-z0-9-]+\.){{1,60}}(?:{'|'.join(BARE_TLDS)})(?:/[^\s<>\"'()]*)?)"
-EMAIL = r"(?iU)\b[\w.+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+){0,60}\.[a-z]{2,}\b"
+EMAIL = r"(?iU)\b[\w.+-]{1,256}@[a-z0-9-]+(?:\.[a-z0-9-]+){0,60}\.[a-z]{2,}\b"
 UPI = r"(?iU)\b[\w.-]{1,256}@[a-z]{2,64}(?![\w.-])"
 PHONE = r"(?U)(?<![\d\w])(?:\+?91[\s-]?|0)?[6-9]\d{4}[\s-]?\d{5}(?!\d)"
 AMOUNT = rf"(?iU)(₹|rs\.?|inr|\$|usd|€|eur)\s*({_NUMBER})|({_NUMBER})\s*(rs\.?|inr|rupees|usd|dollars)\b"

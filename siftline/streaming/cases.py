@@ -14,6 +14,7 @@ from siftline.operators.extract import extract
 from siftline.operators.ingest import ingest
 from siftline.operators.timeline import build_timeline
 from siftline.sources.raw import RAW, OcrEngine, tesseract, upsert
+from siftline.storage import settle
 
 
 def read_raw(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
@@ -47,7 +48,7 @@ def update_cases(records: DataFrame, store: str, sink: Callable[[DataFrame, Data
             try:
                 merged.count()  # read before its partitions are replaced
                 merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("case_id").parquet(store)
-                events, _ = build_timeline(merged, zone)
+                events = settle(build_timeline(merged, zone)[0])
                 sink(events, check(events)[0])
             finally:
                 merged.unpersist()

@@ -134,7 +134,7 @@ def test_timeline_and_checks(spark, case):
 def test_conflicting_references(spark):
     pay = lambda amount, to, date: json.dumps({"txn_id": "UTR 123456", "amount": amount, "to": to, "date": date, "status": "success" if amount == "5" else "failed"})
     rows = [{"json": pay("5", "a@ybl", "2024-03-12T10:00:00")}, {"json": pay("6", "b@ybl", "2024-03-14T10:00:00")}]
-    issues, _ = check(settle(build_timeline(extract(ingest(raw_rows(spark, rows))))[0]))
+    issues, _ = check(settle(build_timeline(settle(extract(settle(ingest(raw_rows(spark, rows))))))[0]))
     assert {"amount_mismatch", "payee_mismatch", "status_mismatch", "timestamp_mismatch"} <= {r.issue_type for r in issues.collect()}
 
 
@@ -175,8 +175,8 @@ def test_store(spark, case, tmp_path):
 
 
 def test_empty_tables(spark):
-    records = extract(ingest(raw_rows(spark, [])))
-    events, summary = build_timeline(settle(records))
+    records = settle(extract(settle(ingest(raw_rows(spark, [])))))
+    events, summary = build_timeline(records)
     assert events.count() == 0 and summary.count() == 0 and check(settle(events))[0].count() == 0
 
 
