@@ -71,7 +71,7 @@ def op8_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return sentspans.remove_repeats(docs)
+    return sentspans.remove_repeats(docs, short_words=sentspans.SHORT_WORDS)
 
 
 def op10_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 A sentence ends with a line, or with a word whose trailing marks have one of .!?,;:| (so that clauses count,
 as a passage seldom has several full stops). A span begins at each sentence and takes the sentences that
 follow until it has SENTENCES of them and MIN_WORDS words, or LONG_WORDS words however few sentences. It is
-known by a hash of its lower-cased words, so white space and line ends don't matter.
+known by a hash of its lower-cased words, so white space and line ends don't matter. Fewer than SENTENCES of
+them with short_words words are a second, shorter span: a passage that begins and ends within sentences has few whole ones.
 
 Spans are joined globally: of each hash the smallest doc_id that has it, and how many documents do, counted
 with map-side aggregation, so a span that a third of all documents share is a few partial rows; the join
@@ -29,14 +30,16 @@ from siftline.llm.common import fresh, map_arrow, pieces
 SENTENCES = 3
 MIN_WORDS = 20
 LONG_WORDS = 50
+#: Words of the shorter spans.
+SHORT_WORDS = 15
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?,;:|"]] = True
 
 
 class Spans:
-    """The sentences of a piece's texts and the span that begins at each (of those that are long enough)."""
+    """The sentences of a piece's texts and the spans that begin at each (of those that are long enough)."""
 
-    def __init__(self, raw: np.ndarray, off: np.ndarray, sentences: int, min_words: int, long_words: int):
+    def __init__(self, raw: np.ndarray, off: np.ndarray, sentences: int, min_words: int, long_words: int, short_words: int | None = None):
         self.raw, self.off, docs = raw, off, len(off) - 1
         s, e, first = b.words(raw, off)
         h, n = b.span_hashes(raw, s, e), len(s)
@@ -63,14 +66,16 @@ class Spans:
         m = np.arange(len(self.begin))
         stop = np.maximum(m + sentences - 1, np.searchsorted(self.last, self.begin + min_words - 1))
         stop = np.minimum(stop, np.searchsorted(self.last, self.begin + long_words - 1))
-        self.stop = stop
-        self.whole = stop < self.first[self.doc + 1] if len(m) else np.zeros(0, bool)
+        short = np.searchsorted(self.last, self.begin + short_words - 1) if short_words is not None else stop
+        end = self.first[self.doc + 1] if len(m) else m
+        self.stop = np.stack([stop, short], 1)  #: of the span of a sentence, and of the shorter one
+        whole = np.stack([stop < end, (short < end) & (short < stop) & (short < m + sentences - 1)], 1)
+        self.at, self.kind = np.nonzero(whole)
         with np.errstate(over="ignore"):
             total = np.concatenate(([np.uint64(0)], np.cumsum(h * b.powers(b.WORD_BASE, n))))
-            a, z = self.begin[self.whole], self.last[stop[self.whole]] + 1
+            a, z = self.begin[self.at], self.last[self.stop[self.at, self.kind]] + 1
             back = b.powers(pow(b.WORD_BASE, -1, 1 << 64), n + 1)[a]
             self.hash = b.mix((total[z] - total[a]) * back + (z - a).astype(np.uint64))
-        self.at = m[self.whole]
         # of equal spans in a text, the later ones
         with np.errstate(over="ignore"):
             own = self.hash ^ b.mix(self.doc[self.at].astype(np.uint64) + np.uint64(1))
@@ -79,13 +84,13 @@ class Spans:
         self.again[order[1:][own[order][1:] == own[order][:-1]]] = True
 
     def without(self, repeats: list[list[int] | None]) -> tuple[list[bytes], np.ndarray]:
-        """Each text without the sentences under its repeated spans (given by first sentence), and how many those are."""
+        """Each text without the sentences under its repeated spans (given by 2 * first sentence + kind), and how many those are."""
         n = len(self.begin)
         delta = np.zeros(n + 1, np.int64)
-        hit = [self.at[self.again]] + [np.asarray(r, np.int64) + self.first[d] for d, r in enumerate(repeats) if r]
+        hit = [2 * self.at[self.again] + self.kind[self.again]] + [np.asarray(r, np.int64) + 2 * self.first[d] for d, r in enumerate(repeats) if r]
         hit = np.concatenate(hit) if n else np.zeros(0, np.int64)
-        np.add.at(delta, hit, 1)
-        np.add.at(delta, self.stop[hit] + 1, -1)
+        np.add.at(delta, hit >> 1, 1)
+        np.add.at(delta, self.stop[hit >> 1, hit & 1] + 1, -1)
         gone = np.cumsum(delta[:-1]) > 0
         out = []
         for d in range(len(self.off) - 1):
@@ -101,7 +106,7 @@ class Spans:
         return out, np.bincount(self.doc[gone], minlength=len(self.off) - 1) if n else np.zeros(len(self.off) - 1, np.int64)
 
 
-def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", sentences: int = SENTENCES, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
+def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", sentences: int = SENTENCES, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS, short_words: int | None = None) -> DataFrame:
     """df with repeated sentences taken out of its texts, and n_sentences and n_removed of each."""
     df = df.drop("n_sentences", "n_removed")
     tag, found = fresh(df, "tag"), fresh(df, "found")
@@ -110,11 +115,11 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
     def spans(batches):
         for batch in pieces(batches, text_col):
-            sp = Spans(*b.flat(batch.column(text_col)), sentences, min_words, long_words)
+            sp = Spans(*b.flat(batch.column(text_col)), sentences, min_words, long_words, short_words)
             once = ~sp.again
-            at, h = sp.at[once], sp.hash[once]
+            at, kind, h = sp.at[once], sp.kind[once], sp.hash[once]
             doc = sp.doc[at]
-            cols = [batch.column(id_col).take(pa.array(doc)), batch.column(tag).take(pa.array(doc)), pa.array((at - sp.first[doc]).astype(np.int32)), pa.array(h.view(np.int64))]
+            cols = [batch.column(id_col).take(pa.array(doc)), batch.column(tag).take(pa.array(doc)), pa.array((2 * (at - sp.first[doc]) + kind).astype(np.int32)), pa.array(h.view(np.int64))]
             yield pa.RecordBatch.from_arrays(cols, names=row.names)
 
     all_spans = map_arrow(df.select(id_col, tag, text_col), spans, row)
@@ -129,7 +134,7 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     def clean(batches):
         for batch in pieces(batches, text_col):
             texts = batch.column(text_col)
-            sp = Spans(*b.flat(texts), sentences, min_words, long_words)
+            sp = Spans(*b.flat(texts), sentences, min_words, long_words, short_words)
             left, gone = sp.without(batch.column(found).to_pylist())
             null = texts.is_null().to_pylist()
             new = pa.array([None if x else t for x, t in zip(null, left)], pa.binary()).cast(texts.type)

@@ -462,6 +462,21 @@ def test_repeated_spans(spark, real):
     assert sentspans.remove_repeats(docs(spark, [])).count() == 0
 
 
+def test_repeated_spans_of_passages_within_sentences(spark):
+    w = [f"p{i}" for i in range(54)]
+    w[17] += "."  # a passage of 54 words: the end of a sentence, a sentence of 20 words, the beginning of another
+    w[37] += "."
+    passage = " ".join(w)
+    pair = " ".join([f"q{i}" + ("." if i in (16, 24, 33) else "") for i in range(52)])  # two sentences of 17 words together
+    texts = [f"one begins {passage} so\n", f"two other words begin {passage} and goes on\n", f"a {pair} b", f"c {pair} d", "A short one. Of two.", "A short one. Of two."]
+    df = docs(spark, texts)
+    got = {r.doc_id: r for r in sentspans.remove_repeats(df, short_words=sentspans.SHORT_WORDS).collect()}
+    assert [got[i].n_removed for i in range(6)] == [0, 1, 0, 2, 0, 0]
+    assert "p20" not in got[1].text and "p17" in got[1].text and "p38" in got[1].text and "q20" not in got[3].text
+    df.write.parquet(path := f"{common.shared_dir(spark)}/op9/documents.parquet")
+    assert {r.doc_id: r.n_removed for r in queries.op9_sentence_spans(spark, path.rpartition("/")[0]).collect()} == {i: r.n_removed for i, r in got.items()}
+
+
 # ---------------------------------------------------------------- 10 language
 
 
