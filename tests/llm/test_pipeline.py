@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 
 import corpus_pipeline
 import public_tokenizers
-from siftline.llm import bpe
+from siftline.llm import bpe, neardup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -41,6 +42,34 @@ def test_stages(spark):
         assert stage(spark, empty, "").count() == 0
 
 
+def test_near_duplicates_from_80_percent(spark):
+    r = random.Random(3)
+    texts = []
+    for f in range(12):  # families of texts that differ in one to five words of 120: similarities around 0.8
+        base = [f"f{f}w{i}" for i in range(120)]
+        for e in range(6):
+            t = list(base)
+            for at in r.sample(range(120), e):
+                t[at] = f"e{r.randrange(10**6)}"
+            texts.append(" ".join(t))
+    sets = [set(zip(*(w[k:] for k in range(5)))) for w in map(str.split, texts)]
+    up, between = list(range(len(texts))), 0
+
+    def find(x):
+        return x if up[x] == x else find(up[x])
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        both, union = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+        between += 80 * union <= 100 * both < 85 * union
+        if 100 * both >= 80 * union:
+            x, y = find(a), find(b)
+            up[max(x, y)] = min(x, y)
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert between > 5 and kept == {x for x in up if up[x] == x} == {find(i) for i in up}
+    assert neardup.chance_of_loss(matches=corpus_pipeline.MATCHES, percent=corpus_pipeline.PERCENT) < 2e-6
+
+
 def test_run(spark, tmp_path):
     spark.createDataFrame(rows(), SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path))
