@@ -2,11 +2,14 @@
 
 Counts of (context, next character) for contexts of 0 to ORDER characters are taken over every URL that a
 rule decides, in each class, with map-side aggregation. A context stays in the model as far as its count
-carries it (MIN_COUNT, or more when the model would have over MAX_ENTRIES entries), so how long a context is
-varies; probabilities are interpolated with those of the shorter contexts by the Witten-Bell method, down
-to a uniform distribution. A URL's score is the difference of its log likelihoods under the two models over
-its length. A fifth of the decided URLs, by a hash, is left out of the counts; a logistic curve fitted on
-their scores (binned, classes weighted alike) turns scores into probabilities, and 0.5 decides.
+carries it (MIN_COUNT), so how long a context is varies; probabilities are interpolated with those of the
+shorter contexts by the Witten-Bell method, down to a uniform distribution. A URL's score is the difference of
+its log likelihoods under the two models over its length. A fifth of the decided URLs, by a hash, is left out
+of a first pair of models; a logistic curve fitted on their scores (binned, classes weighted alike) turns
+scores into probabilities, and 0.5 decides. The scores themselves are of models that count all of them.
+
+The models grow with the URLs. Up to MAX_ENTRIES entries they are broadcast; larger ones stay tables that the
+n-grams of the URLs are joined with, by the same arithmetic in the same order, which gives the same scores.
 
 Rules decide before the model does: a rule fits its host and all subdomains if the path starts with the
 rule's, and the longest one wins.
@@ -26,12 +29,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import fits
+from siftline.llm.common import cut, fits
 
 ORDER = 5
 MIN_COUNT = 2
-#: (context, character) entries of both models together, which is what is broadcast: tens of MB at most.
+#: (context, character) entries of both models together that are broadcast: tens of MB. More of them are joined.
 MAX_ENTRIES = 400_000
+#: Characters of distinct URLs that one task scores at a time in a join.
+BLOCK_CHARS = 200_000
 ALPHABET = 256  #: the uniform distribution that the models fall back to has so many outcomes
 HELD_OUT = 5
 BINS, BIN_WIDTH = 400, 0.02
@@ -111,23 +116,32 @@ def counts(df: DataFrame, url: str, label: str) -> DataFrame:
     return grams.select("label", context.alias("context"), char.alias("char")).groupBy("label", "context", "char").agg(F.count(F.lit(1)).alias("n"))
 
 
-def train(df: DataFrame, url: str = "url", label: str = "verdict") -> Ratio | None:
+@dataclass
+class Table:
+    """Models too large to broadcast: label, context, char, n, and total and kinds of the context."""
+
+    entries: DataFrame
+
+
+def train(df: DataFrame, url: str = "url", label: str = "verdict") -> Ratio | Table | None:
     """The models of the URLs labelled allow and block; None without both."""
     grams = counts(df, url, label)
     nodes = grams.groupBy("label", "context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
-    least = MIN_COUNT
-    both = grams.join(nodes, ["label", "context"])
-    while not fits(both.filter(F.col("n") >= least), MAX_ENTRIES):
-        least *= 4
+    both = cut(grams.join(nodes, ["label", "context"]).filter(F.col("n") >= MIN_COUNT))
+    if not {"allow", "block"} <= {r["label"] for r in both.select("label").distinct().collect()}:
+        return None
+    if not fits(both, MAX_ENTRIES):
+        return Table(both)
     models: dict[str, dict] = {}
-    for r in both.filter(F.col("n") >= least).collect():
+    for r in both.collect():
         models.setdefault(r["label"], {}).setdefault(r["context"], (r["total"], r["kinds"], {}))[2][r["char"]] = r["n"]
-    if not {"allow", "block"} <= set(models):
-        return None
     return Ratio(Markov(models["allow"]), Markov(models["block"]))
 
 
-def score(df: DataFrame, ratio: Ratio, url: str = "url", score_col: str = "llr") -> DataFrame:
+def score(df: DataFrame, ratio: Ratio | Table, url: str = "url", score_col: str = "llr") -> DataFrame:
+    if isinstance(ratio, Table):
+        of_url = _joined_scores(df.select(F.coalesce(url, F.lit("")).alias("scored_url")).distinct(), ratio, score_col)
+        return df.join(of_url, F.coalesce(url, F.lit("")) == F.col("scored_url")).drop("scored_url")
     shared = df.sparkSession.sparkContext.broadcast(ratio)
 
     @F.pandas_udf("double")
@@ -137,10 +151,65 @@ def score(df: DataFrame, ratio: Ratio, url: str = "url", score_col: str = "llr")
     return df.withColumn(score_col, llr(F.coalesce(url, F.lit(""))))
 
 
+def _probabilities(grams: DataFrame, entries: DataFrame) -> DataFrame:
+    """gram, p_allow, p_block: the last character's probability after the others under both models, of grams and all their ends.
+
+    Grams of one length after another, each from the gram without its first character: no key has more rows
+    than there are characters, and what has been found for an end is used by all that end so.
+    """
+
+    def of(label: str, column: str) -> Column:
+        return F.max(F.when(F.col("label") == label, F.col(column))).alias(f"{column}_{label}")
+
+    labels = ("allow", "block")
+    n = entries.groupBy(F.concat("context", "char").alias("gram")).agg(*[of(x, "n") for x in labels])
+    nodes = entries.groupBy("context").agg(*[of(x, c) for x in labels for c in ("total", "kinds")])
+    ends = cut(grams.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("gram")), lambda k: F.substring(F.col("gram"), F.length("gram") - k + 1, k))).alias("gram")).distinct())
+    levels = []
+    for size in range(1, ORDER + 2):
+        rows = ends.filter(F.length("gram") == size).withColumn("context", F.substring(F.col("gram"), F.lit(1), F.lit(size - 1)))
+        rows = rows.join(n, "gram", "left").join(nodes, "context", "left")
+        if levels:
+            shorter = levels[-1].withColumnRenamed("gram", "end")
+            rows = rows.withColumn("end", F.substring(F.col("gram"), F.lit(2), F.lit(size - 1))).join(shorter, "end")
+        else:
+            rows = rows.withColumns({f"p_{x}": F.lit(1.0 / ALPHABET) for x in labels})
+
+        def p(x: str) -> Column:
+            total, kinds, before = F.col(f"total_{x}"), F.col(f"kinds_{x}"), F.col(f"p_{x}")
+            return F.when(total.isNull(), before).otherwise((F.coalesce(f"n_{x}", F.lit(0)) + kinds * before) / (total + kinds)).alias(f"p_{x}")
+
+        levels.append(cut(rows.select("gram", *[p(x) for x in labels])))
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return out
+
+
+def _joined_scores(urls: DataFrame, model: Table, score_col: str) -> DataFrame:
+    """scored_url and its score, of distinct URLs. Blocks of URLs are joined with their own n-grams' probabilities."""
+    urls = cut(urls)
+    chars = urls.agg(F.sum(F.length("scored_url") + 2)).first()[0] or 0
+    block = F.pmod(F.xxhash64("scored_url"), F.lit(-(-chars // BLOCK_CHARS) or 1))
+    urls = urls.withColumn("block", block)
+    t = F.concat(F.lit(_START), "scored_url", F.lit(_END))
+    grams = urls.select("block", t.alias("t")).select("block", "t", F.explode(F.sequence(F.lit(2), F.length("t"))).alias("i"))
+    first = F.greatest(F.lit(1), F.col("i") - ORDER)
+    grams = cut(grams.select("block", F.substring(F.col("t"), first, F.col("i") - first + 1).alias("gram")).distinct())
+    known = grams.join(_probabilities(grams.select("gram").distinct(), model.entries), "gram")
+
+    def judged(mine: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        ratio = Ratio(Markov({}), Markov({}))
+        ratio.known = {g: math.log(a) - math.log(b) for g, a, b in zip(found["gram"], found["p_allow"], found["p_block"])}
+        return pd.DataFrame({"scored_url": mine["scored_url"], score_col: mine["scored_url"].map(ratio).astype(float)})
+
+    return urls.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(judged, f"scored_url string, `{score_col}` double")
+
+
 def calibrate(scored: DataFrame, score_col: str = "llr", label: str = "verdict") -> tuple[float, float]:
     """Slope and intercept of the logistic curve of P(allow), from a histogram of scores of each class."""
     at = F.greatest(F.lit(-BINS), F.least(F.lit(BINS), F.round(F.col(score_col) / BIN_WIDTH))).cast("int")
-    rows = scored.groupBy(F.col(label).alias("label"), at.alias("at")).count().collect()
+    rows = scored.groupBy(F.col(label).alias("label"), at.alias("at")).count().orderBy("label", "at").collect()
     x = np.array([r["at"] * BIN_WIDTH for r in rows])
     y = np.array([r["label"] == "allow" for r in rows], float)
     n = np.array([r["count"] for r in rows], float)
@@ -169,9 +238,10 @@ def judge(df: DataFrame, rules: list[tuple[str, str]], url: str = "url") -> Data
     df = df.withColumns({"rule": rule, "verdict": verb})
     decided = df.filter(F.col("rule").isNotNull()).select(url, "verdict")
     held = F.pmod(F.xxhash64(F.coalesce(url, F.lit(""))), F.lit(HELD_OUT)) == 0
-    ratio = train(decided.filter(~held), url)
+    ratio = train(decided, url)
     if ratio is None:
         return df.withColumns({"llr": F.lit(0.0), "p_allow": F.lit(0.5), "verdict": F.coalesce("verdict", F.lit("allow"))})
-    a, b = calibrate(score(decided.filter(held), ratio, url))
+    others = train(decided.filter(~held), url)
+    a, b = calibrate(score(decided.filter(held), others, url)) if others is not None else (1.0, 0.0)
     p = 1 / (1 + F.exp(-(F.col("llr") * a + b)))
     return score(df, ratio, url).withColumn("p_allow", p).withColumn("verdict", F.coalesce("verdict", F.when(F.col("p_allow") >= 0.5, "allow").otherwise("block")))
