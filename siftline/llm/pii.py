@@ -1,11 +1,11 @@
 """Information-theoretic sanitisation, with DataFrame functions only.
 
 Base matches (e-mail addresses, IP addresses, card and phone numbers) are the protected entities. A term is a
-word of letters within WINDOW characters of an entity. Over the whole corpus, documents are counted that have
-the term, that have the entity, and that have the term near the entity; from these follow the pointwise
+word of letters in a document that has an entity. Over the whole corpus, documents are counted that have
+the term, that have the entity, and that have both, however far apart; from these follow the pointwise
 mutual information of term and entity, PMI = log2(P(t, e) / (P(t) P(e))), and the entity's own information,
 IC = -log2 P(e), which is what full disclosure would be. A term with PMI >= GENERALISE * IC is generalised to
-[TERM] where it stands near the entity, and from REMOVE * IC on it is removed. Fewer than MIN_SUPPORT
+[TERM] wherever it stands in documents that have the entity, and from REMOVE * IC on it is removed. Fewer than MIN_SUPPORT
 documents with both are no estimate, and disclose nothing.
 
 Patterns are written so that the regular expression engine neither recurses nor rescans a run of characters:
@@ -25,14 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftline.llm.common import cut, fits, fresh
+from siftline.llm.common import cut, fresh
 
-WINDOW = 120
 MIN_SUPPORT = 3
 GENERALISE = 0.6
 REMOVE = 0.85
-#: Terms whose documents are counted by a broadcast; more of them are counted by a shuffle.
-MOST_TERMS = 200_000
 KINDS = ["email", "ip", "card", "phone", "term"]
 _LOCAL = r"[A-Za-z0-9._%+-]"
 PATTERNS = {
@@ -72,61 +69,60 @@ def _item(kind: str):
 
 
 def matches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row_key, kind, i, start, end, value, and the text before and after of every base match (of distinct rows)."""
+    """row_key, kind, value, start, end of every base match (of distinct rows), and a row of kind "text" of each text with candidates."""
     text = F.col("t")
     found = []
     for kind, pattern in PATTERNS.items():
         values, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-        around = F.transform(gaps, lambda g: F.struct(F.length(g).alias("n"), F.substring(g, -WINDOW, WINDOW).alias("tail"), F.substring(g, 1, WINDOW).alias("head")))
-        found.append(F.when(_maybe(kind, text), F.struct(F.transform(values, _item(kind)).alias("m"), around.alias("g"))))
+        found.append(F.when(_maybe(kind, text), F.struct(F.transform(values, _item(kind)).alias("m"), F.transform(gaps, F.length).alias("g"))))
     rows = df.select(row_key(id_col, text_col).alias("row_key"), F.col(text_col).cast("string").alias("t"))
-    rows = rows.filter(F.col("t").rlike("[0-9@+]")).select("row_key", F.filter(F.array(*found), lambda x: x.isNotNull() & (F.size(x["m"]) > 0)).alias("found"))
+    rows = rows.filter(F.col("t").rlike("[0-9@+]")).dropDuplicates(["row_key"])
+    rows = rows.select("row_key", "t", F.filter(F.array(*found), lambda x: x.isNotNull() & (F.size(x["m"]) > 0)).alias("found")).filter(F.size("found") > 0)
+    rows = cut(rows)
+    texts = rows.select("row_key", F.lit("text").alias("kind"), F.col("t").alias("value"), F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("start"))
     rows = rows.select("row_key", F.explode("found").alias("f"))
-    rows = rows.select("row_key", F.explode(F.transform(F.col("f.m"), lambda m, i: F.struct(m.alias("m"), F.element_at("f.g", i + 1).alias("l"), F.element_at("f.g", i + 2).alias("r")))).alias("x"))
-    rows = rows.select("row_key", "x.m.kind", "x.m.i", "x.m.value", F.col("x.l.n").alias("gap"), F.col("x.l.tail").alias("before"), (F.col("x.l.n") > WINDOW).alias("before_cut"), F.col("x.r.head").alias("after"), (F.col("x.r.n") > WINDOW).alias("after_cut"))
-    rows = rows.dropDuplicates(["row_key", "kind", "i"])
+    rows = rows.select("row_key", F.explode(F.transform(F.col("f.m"), lambda m, i: F.struct(m.alias("m"), F.element_at("f.g", i + 1).alias("gap")))).alias("x"))
+    rows = rows.select("row_key", "x.m.kind", "x.m.i", "x.m.value", "x.gap")
     run = W.partitionBy("row_key", "kind").orderBy("i")
     end = F.sum(F.col("gap") + F.length("value")).over(run)
     rows = rows.withColumn("end", end.cast("long")).withColumn("start", F.col("end") - F.length("value"))
-    return rows.filter(_passes(F.col("kind"), F.col("value"))).drop("gap", "i")
+    return rows.filter(_passes(F.col("kind"), F.col("value"))).drop("gap", "i").unionByName(texts)
 
 
-def _words(window: Column, cut_first: Column, cut_last: Column) -> Column:
-    """Words of letters in a short text with their offsets; one that the window's edge may have cut is left out."""
-    values, gaps = F.regexp_extract_all(window, F.lit(_WORD), F.lit(0)), F.split(window, _WORD, -1)
-    pairs = F.transform(values, lambda v, i: F.struct(v.alias("v"), F.length(F.element_at(gaps, i + 1)).alias("gap")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<term:string,a:int,b:int>>").alias("out"))
+def entities(base: DataFrame) -> DataFrame:
+    """row_key, entity: which protected values each document has."""
+    plain = F.when(F.col("kind").isin("card", "phone"), F.regexp_replace("value", "[^0-9]", "")).otherwise(F.lower("value"))
+    return base.filter("kind <> 'text'").select("row_key", F.concat_ws(":", "kind", plain).alias("entity")).distinct()
 
-    def step(acc, p):
-        a = acc["at"] + p["gap"]
-        b = a + F.length(p["v"])
-        return F.struct(b.alias("at"), F.concat(acc["out"], F.array(F.struct(F.lower(p["v"]).alias("term"), a.alias("a"), b.alias("b")))).alias("out"))
 
-    words = F.aggregate(pairs, zero, step, lambda acc: acc["out"])
-    return F.filter(words, lambda w: ~(cut_first & (w["a"] == 0)) & ~(cut_last & (w["b"] == F.length(window))))
+def _vocabulary(text: str) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.col(text), F.lit(_WORD), F.lit(0)), F.lower))
 
 
 def terms(base: DataFrame) -> DataFrame:
-    """row_key, entity, term, start, end of every word near a base match."""
-    plain = F.when(F.col("kind").isin("card", "phone"), F.regexp_replace("value", "[^0-9]", "")).otherwise(F.lower("value"))
-    no = F.lit(False)
-    left = F.transform(_words(F.col("before"), F.col("before_cut"), no), lambda w: F.struct(w["term"].alias("term"), (F.col("start") - F.length("before") + w["a"]).alias("start"), (F.col("start") - F.length("before") + w["b"]).alias("end")))
-    right = F.transform(_words(F.col("after"), no, F.col("after_cut")), lambda w: F.struct(w["term"].alias("term"), (F.col("end") + w["a"]).alias("start"), (F.col("end") + w["b"]).alias("end")))
-    rows = base.select("row_key", F.concat_ws(":", "kind", plain).alias("entity"), F.explode(F.concat(left, right)).alias("w"))
-    return rows.select("row_key", "entity", "w.term", "w.start", "w.end")
+    """row_key, entity, term: every word of a document with every entity of it, once."""
+    words = base.filter("kind = 'text'").select("row_key", F.explode(_vocabulary("value")).alias("term"))
+    return entities(base).join(words, "row_key").select("row_key", "entity", "term")
+
+
+def places(base: DataFrame, wanted: DataFrame) -> DataFrame:
+    """row_key, start, end, removed of every occurrence of the terms that are wanted in a document."""
+    texts = base.filter("kind = 'text'").join(wanted.select("row_key").distinct(), "row_key", "left_semi")
+    words, gaps = F.regexp_extract_all("value", F.lit(_WORD), F.lit(0)), F.split("value", _WORD, -1)
+    pairs = texts.select("row_key", words.alias("w"), F.transform(gaps, F.length).alias("g"))
+    pairs = pairs.select("row_key", F.posexplode(F.arrays_zip("w", "g")).alias("i", "p")).filter(F.col("p.w").isNotNull())
+    end = F.sum(F.col("p.g") + F.length("p.w")).over(W.partitionBy("row_key").orderBy("i")).cast("long")
+    at = pairs.select("row_key", F.lower("p.w").alias("term"), (end - F.length("p.w")).alias("start"), end.alias("end"))
+    return at.join(wanted, ["row_key", "term"]).select("row_key", "start", "end", "removed")
 
 
 def disclosures(df: DataFrame, near: DataFrame, text_col: str, min_support: int = MIN_SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """entity, term, pmi, ic, removed: the pairs over the threshold, by document counts over all of df."""
-    seen = near.select("entity", "term", "row_key").distinct()
-    joint = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= min_support)
+    joint = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= min_support)
     with_entity = near.select("entity", "row_key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    wanted = joint.select("term").distinct()
-    wanted = F.broadcast(wanted) if fits(wanted, MOST_TERMS) else wanted
-    tokens = df.select(F.explode(F.array_distinct(F.split(F.lower(text_col), r"\P{L}+"))).alias("term"))
-    with_term = tokens.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    with_term = df.select(F.explode(_vocabulary(text_col)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     rows = joint.join(with_entity, "entity").join(with_term, "term").withColumn("n", F.lit(df.count()))
-    # repeated rows count once where terms stand near entities, and each time here: never less
+    # repeated rows count once where terms stand with entities, and each time here: never less
     pmi = F.log2(F.col("n_both") * F.col("n") / (F.greatest("n_term", "n_both") * F.col("n_entity")))
     ic = F.log2(F.col("n") / F.col("n_entity"))
     rows = rows.select("entity", "term", pmi.alias("pmi"), ic.alias("ic"))
@@ -136,11 +132,12 @@ def disclosures(df: DataFrame, near: DataFrame, text_col: str, min_support: int
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
     """row_key, kind, start, end, removed of all spans: base matches and the terms that disclose one."""
     base = cut(matches(df, id_col, text_col))
-    near = cut(terms(base))
+    near = terms(base)
     found = disclosures(df, near, text_col, **thresholds)
-    added = near.join(found, ["entity", "term"]).groupBy("row_key", "start", "end").agg(F.max("removed").alias("removed")).withColumn("kind", F.lit("term"))
-    spans = base.select("row_key", "kind", "start", "end", F.lit(False).alias("removed")).unionByName(added)
-    # terms inside a base match go
+    wanted = cut(near.join(found, ["entity", "term"]).groupBy("row_key", "term").agg(F.max("removed").alias("removed")))
+    added = places(base, wanted).withColumn("kind", F.lit("term"))
+    spans = base.filter("kind <> 'text'").select("row_key", "kind", "start", "end", F.lit(False).alias("removed")).unionByName(added)
+    # terms inside or across a base match go
     rank = F.when(F.col("kind") == "term", 1).otherwise(0)
     before = W.partitionBy("row_key").orderBy("start", rank).rowsBetween(W.unboundedPreceding, -1)
     after = W.partitionBy("row_key").orderBy("start", rank).rowsBetween(1, W.unboundedFollowing)

@@ -408,6 +408,16 @@ def test_pii_terms(spark):
     assert pairs["email:m@x.com", "marlowe"].pmi == pytest.approx(np.log2(both * n / (e * t)))
 
 
+def test_pii_terms_anywhere_in_the_document(spark):
+    texts = [f"Marlowe keeps the {w} house. " + "the " * 200 + "a@y.org, m@x.com " + "the " * 200 + "and MARLOWE again" for w in ("lamp", "river", "stone", "cloud")] + ["the and house of keeps again"] * 40
+    df = docs(spark, texts)
+    spans = {x.doc_id: x.spans.split(",") for x in pii.report(df).collect()}
+    for i in range(4):
+        at = [m.start() for m in re.finditer("marlowe", texts[i].lower())]
+        assert len(at) == 2 and {f"term:{a}:{a + 7}" for a in at} <= set(spans[i])
+    assert not any("marlowe" in x.text.lower() for x in pii.sanitise(df).collect())
+
+
 def test_pii_runs_no_python(spark):
     plan = pii.report(docs(spark, ["mail a@b.c"]))._jdf.queryExecution().executedPlan().toString()
     plan += mixing.mix(docs(spark, ["x"]))._jdf.queryExecution().executedPlan().toString()
