@@ -5,8 +5,9 @@ word of letters in a document that has an entity. Over the whole corpus, documen
 the term, that have the entity, and that have both, however far apart; from these follow the pointwise
 mutual information of term and entity, PMI = log2(P(t, e) / (P(t) P(e))), and the entity's own information,
 IC = -log2 P(e), which is what full disclosure would be. A term with PMI >= GENERALISE * IC is generalised to
-[TERM] wherever it stands in documents that have the entity, and from REMOVE * IC on it is removed. Fewer than MIN_SUPPORT
-documents with both are no estimate, and disclose nothing.
+[TERM] wherever it stands in documents that have the entity, and from REMOVE * IC on it is removed. What decides
+is a smoothed PMI: P(e | t) is estimated with PRIOR documents more, which have e as often as the other documents
+with t suggest by what e is part of: the domain, network or number prefix, and beyond it the kind.
 
 Patterns are written so that the regular expression engine neither recurses nor rescans a run of characters:
 groups are possessive and a match begins where its run begins, which finds the same leftmost matches.
@@ -25,9 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftline.llm.common import cut, fresh
+from siftline.llm.common import cut, fits, fresh
 
-MIN_SUPPORT = 3
+PRIOR = 6
+#: Entities whose documents are broadcast for a bound; more of them are joined by a shuffle.
+MOST_ENTITIES = 200_000
 GENERALISE = 0.6
 REMOVE = 0.85
 KINDS = ["email", "ip", "card", "phone", "term"]
@@ -116,17 +119,44 @@ def places(base: DataFrame, wanted: DataFrame) -> DataFrame:
     return at.join(wanted, ["row_key", "term"]).select("row_key", "start", "end", "removed")
 
 
-def disclosures(df: DataFrame, near: DataFrame, text_col: str, min_support: int = MIN_SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def _family(entity: Column) -> Column:
+    """What an entity is part of: an address's domain, an IP address's network, the first digits of a number."""
+    kind, value = F.substring_index(entity, ":", 1), F.regexp_replace(entity, r"^[a-z]+:", "")
+    part = F.when(kind == "email", F.substring_index(value, "@", -1)).when(kind == "ip", F.substring_index(value, ".", 3))
+    part = part.when(kind == "card", F.substring(value, 1, 6)).otherwise(F.substring(value, F.lit(1), F.length(value) - 4))
+    return F.concat_ws(":", kind, part)
+
+
+def disclosures(df: DataFrame, near: DataFrame, text_col: str, prior: float = PRIOR, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """entity, term, pmi, ic, removed: the pairs over the threshold, by document counts over all of df."""
-    joint = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= min_support)
-    with_entity = near.select("entity", "row_key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    with_term = df.select(F.explode(_vocabulary(text_col)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    rows = joint.join(with_entity, "entity").join(with_term, "term").withColumn("n", F.lit(df.count()))
+    near = near.withColumns({"family": _family(F.col("entity")), "kind": F.substring_index("entity", ":", 1)})
+    one, total = F.count(F.lit(1)), df.count()
+    n, with_term = F.lit(total), df.select(F.explode(_vocabulary(text_col)).alias("term")).groupBy("term").agg(one.alias("n_term"))
+    # P(e | t) <= (n_entity + prior) / (n_term + prior): terms that no entity of theirs can reach the threshold with go first, all others stay
+    sizes = near.select("entity", "row_key").distinct().groupBy("entity").agg(one.alias("n_e"))
+    reach = (F.col("n_e") + prior) * F.pow(F.lit(float(total)) / F.col("n_e"), F.lit(1.0 - generalise)) * 1.000001
+    most = near.join(F.broadcast(sizes) if fits(sizes, MOST_ENTITIES) else sizes, "entity").groupBy("term").agg(F.max(reach).alias("reach"))
+    with_term = cut(with_term.join(most, "term").filter(F.col("n_term") + prior <= F.col("reach")).drop("reach"))
+    near = cut(near.join(with_term.select("term"), "term", "left_semi"))
+    rows = near.groupBy("entity", "family", "kind", "term").agg(one.alias("n_both")).join(with_term, "term")
+    for level in ("family", "kind"):
+        rows = rows.join(near.select(level, "term", "row_key").distinct().groupBy(level, "term").agg(one.alias(f"both_{level}")), [level, "term"])
+    for level in ("entity", "family", "kind"):
+        rows = rows.join(near.select(level, "row_key").distinct().groupBy(level).agg(one.alias(f"n_{level}")), level)
+    rows = rows.withColumn("n", n)
+
+    # each level is estimated from documents that the level below doesn't have: none counts twice
+    t, both = F.col("n_term"), F.col("n_both")
+    of_kind = (F.col("both_kind") - F.col("both_family") + prior * F.col("n_kind") / F.col("n")) / (t - F.col("both_family") + prior)
+    of_family = (F.col("both_family") - both + prior * of_kind * F.col("n_family") / F.col("n_kind")) / (t - both + prior)
+    p = (both + prior * of_family * F.col("n_entity") / F.col("n_family")) / (t + prior)
+    smooth = F.log2(p * F.col("n") / F.col("n_entity"))
     # repeated rows count once where terms stand with entities, and each time here: never less
-    pmi = F.log2(F.col("n_both") * F.col("n") / (F.greatest("n_term", "n_both") * F.col("n_entity")))
+    pmi = F.log2(both * F.col("n") / (F.greatest("n_term", "n_both") * F.col("n_entity")))
     ic = F.log2(F.col("n") / F.col("n_entity"))
-    rows = rows.select("entity", "term", pmi.alias("pmi"), ic.alias("ic"))
-    return rows.filter((F.col("ic") > 0) & (F.col("pmi") >= generalise * F.col("ic"))).withColumn("removed", F.col("pmi") >= remove * F.col("ic"))
+    rows = rows.select("entity", "term", pmi.alias("pmi"), ic.alias("ic"), smooth.alias("smooth"))
+    rows = rows.filter((F.col("ic") > 0) & (F.col("smooth") >= generalise * F.col("ic")))
+    return rows.withColumn("removed", F.col("smooth") >= remove * F.col("ic")).drop("smooth")
 
 
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:

@@ -418,6 +418,13 @@ def test_pii_terms_anywhere_in_the_document(spark):
     assert not any("marlowe" in x.text.lower() for x in pii.sanitise(df).collect())
 
 
+def test_pii_terms_of_rare_entities(spark):
+    texts = ["the keeper Zephyrine wrote to z@rare.org", "the note of Oswin about o@twice.net", "Oswin wrote o@twice.net the note"] + [f"the keeper wrote a note about {w} of the house" for w in "abcdefghij"] * 40
+    clean = {x.doc_id: x.text for x in pii.sanitise(docs(spark, texts)).collect()}
+    assert "Zephyrine" not in clean[0] and clean[0].startswith("the keeper ") and clean[0].endswith(" wrote to [EMAIL]".replace("to", "[TERM]"))
+    assert not any("Oswin" in clean[i] for i in (1, 2)) and "the note" in clean[1] and all(clean[i] == t for i, t in enumerate(texts) if i > 2)
+
+
 def test_pii_runs_no_python(spark):
     plan = pii.report(docs(spark, ["mail a@b.c"]))._jdf.queryExecution().executedPlan().toString()
     plan += mixing.mix(docs(spark, ["x"]))._jdf.queryExecution().executedPlan().toString()
