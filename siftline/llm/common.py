@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,6 +109,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """128 bits that tell rows with different ids or texts apart; a null text is like an empty one."""
+    ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    return F.unhex(F.md5(F.concat(F.col(id_col).isNull().cast("string"), F.length(ident).cast("string"), F.lit(":"), ident, F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
+
+
 def fits(df: DataFrame, most: int) -> bool:
     """Whether df has at most `most` rows, found without counting more than that."""
     return df.limit(most + 1).count() <= most

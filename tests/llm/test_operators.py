@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -14,6 +15,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from siftline.llm import bpe, bytes_np, common, flac, graph, langid, linecrf, mixing, neardup, pii, queries, sentspans, toxicity, urllm
@@ -402,12 +404,59 @@ def test_pii_terms(spark):
     clean = {r.doc_id: r.text for r in pii.sanitise(df.withColumn("held", F.lit(1))).collect()}
     assert "Marlowe" not in clean[0] and "[EMAIL]" in clean[0] and "the keeper" in clean[0] and "lamp" in clean[0]
     assert clean[4] == texts[4] and clean[len(texts) - 2] is None
-    near = pii.terms(pii.matches(df, "doc_id", "text"))
-    pairs = {(r.entity, r.term): r for r in pii.disclosures(df, near, "text", generalise=-99).collect()}
+    pairs = {(r.entity, r.term): r for r in pii.find(df, generalise=-99)[1].collect()}
     n, both, e, t = len(texts), 4, 4, 4
     assert pairs["email:m@x.com", "marlowe"].pmi == pytest.approx(np.log2(both * n / (e * t)))
 
 
+def plain_spans(rows):
+    """All spans of each text, by counting every word with every entity."""
+    kinds = [k for k, _ in PLAIN] + ["term"]
+    digits = lambda v: re.sub("[^0-9]", "", v)
+
+    def family(e):
+        kind, v = e.split(":", 1)
+        return f"{kind}:" + {"email": v.rpartition("@")[2], "ip": v.rpartition(".")[0], "card": v[:6]}.get(kind, v[: len(v) - 4])
+
+    base, entities, words, has = {}, {}, {}, collections.Counter()
+    for i, t in rows:
+        t = t or ""
+        has.update({w.lower() for w in regex.findall(r"\p{L}+", t)})
+        base[i] = [(a, rank, z) for a, rank, _, z in plain_base(t)]
+        entities[i] = {f"{kinds[r]}:{t[a:z].lower() if r < 2 else digits(t[a:z])}" for a, r, z in base[i]}
+        masked = list(t)
+        for a, _, z in base[i]:
+            masked[a:z] = " " * (z - a)
+        words[i] = [(m.start(), m.end(), m[0].lower()) for m in regex.finditer(r"\p{L}+", "".join(masked))] if base[i] else []
+    n, one, both = len(rows), collections.Counter(), collections.Counter()
+    for i in base:
+        for level in (entities[i], {family(e) for e in entities[i]}, {e.split(":")[0] for e in entities[i]}):
+            one.update(level)
+            both.update((x, w) for x in level for w in {w for *_, w in words[i]})
+    out, told = {}, {}
+    for i in base:
+        spans = list(base[i])
+        for w in {w for *_, w in words[i]}:
+            for e in entities[i]:
+                if (e, w) not in told:
+                    f, k, t, m = family(e), e.split(":")[0], has[w], pii.PRIOR
+                    of_kind = (both[k, w] - both[f, w] + m * one[k] / n) / (t - both[f, w] + m)
+                    of_family = (both[f, w] - both[e, w] + m * of_kind * one[f] / one[k]) / (t - both[e, w] + m)
+                    told[e, w] = one[e] < n and math.log2((both[e, w] + m * of_family * one[e] / one[f]) / (t + m) * n / one[e]) >= pii.GENERALISE * math.log2(n / one[e])
+            if any(told[e, w] for e in entities[i]):
+                spans += [(a, 4, z) for a, z, x in words[i] if x == w]
+        out[i] = ",".join(f"{kinds[r]}:{a}:{z}" for a, r, z in sorted(spans))
+    return out
+
+
+def test_pii_spans_of_a_whole_table(spark):
+    rows = duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()
+    rows += [(10**6 + i, f"İskender {w} Ünal wrote to i@x.org, +1 (743) 555-3824 x@y.org@z.org a1.2.3.4b 4111 1111 1111 1111é") for i, w in enumerate("abcde")]
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = plain_spans(rows)
+    assert got == want and sum("term" in s for s in want.values()) > 40
+
+
 def test_pii_terms_anywhere_in_the_document(spark):
     texts = [f"Marlowe keeps the {w} house. " + "the " * 200 + "a@y.org, m@x.com " + "the " * 200 + "and MARLOWE again" for w in ("lamp", "river", "stone", "cloud")] + ["the and house of keeps again"] * 40
     df = docs(spark, texts)
