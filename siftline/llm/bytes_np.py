@@ -1,8 +1,10 @@
 """Batch string work on Arrow columns with numpy: no loop over characters, words or shingles.
 
 A batch is laid out as one byte array with document offsets. Words are the runs between the six
-ASCII white-space bytes (0x20, 0x09-0x0D); every hash is a polynomial over the bytes, taken from
-one running sum, so its cost doesn't depend on how long words, lines or texts are.
+ASCII white-space bytes (0x20, 0x09-0x0D); every hash is a polynomial over the bytes, modulo the prime
+2**61 - 1, taken from running sums, so its cost doesn't depend on how long words, lines or texts are. Two
+different strings of n bytes have one value for n of the 2**61 points at most (modulo a power of two, regular
+strings would cancel for any point).
 """
 
 from __future__ import annotations
@@ -11,15 +13,16 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-_MASK = (1 << 64) - 1
-#: Odd multiplier of the byte polynomial and its inverse modulo 2**64, and one for sequences of words.
-BASE = 0x9E3779B97F4A7C15
-BASE_INV = pow(BASE, -1, 1 << 64)
-WORD_BASE = 0xC2B2AE3D27D4EB4F
+PRIME = (1 << 61) - 1
+#: The points of the polynomials over bytes, and of the two over words; drawn once.
+BYTE_POINT = 0x1E3779B97F4A7C15 % PRIME
+WORD_POINTS = (0x12B2AE3D27D4EB4F, 0x0D6E8FEB86659FD9)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_CODE = np.arange(1, 257, dtype=U)
+_LOWER_CODE = _CODE[_LOWER]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,22 +33,107 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U(31))
 
 
-_CODE = mix(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95))
+def modulo(x: np.ndarray) -> np.ndarray:
+    """Any 64-bit values modulo PRIME."""
+    x = (x & U(PRIME)) + (x >> U(61))
+    x -= (x >= U(PRIME)) * U(PRIME)
+    return x
+
+
+_LOW31, _LOW30 = U((1 << 31) - 1), U((1 << 30) - 1)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME; both up to about 2**61."""
+    a1, a0, b1, b0 = a >> U(31), a & _LOW31, b >> U(31), b & _LOW31
+    mid = a1 * b0
+    mid += a0 * b1
+    a1 *= b1
+    a1 <<= U(1)
+    a0 *= b0
+    a1 += a0
+    a1 += mid >> U(30)
+    mid &= _LOW30
+    mid <<= U(31)
+    a1 += mid
+    return modulo(a1)
+
+
+_KEPT = 1 << 21
 _powers: dict[int, np.ndarray] = {}
+_halves: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept, as batches are about the same size."""
-    got = _powers.get(base)
+def powers(point: int, n: int) -> np.ndarray:
+    """point**0 .. point**(n-1) modulo PRIME; kept up to a size, as batches are about the same size."""
+    got = _powers.get(point)
     if got is None or len(got) < n:
-        with np.errstate(over="ignore"):
-            got = np.full(max(n, 1 << 20), U(base), U)
-            got[0] = 1
-            got = np.multiply.accumulate(got)
-        _powers[base] = got
+        got = np.ones(1, U) if got is None else got
+        while len(got) < n:
+            got = np.concatenate([got, times(got, np.full(1, pow(point, len(got), PRIME), U))])
+        if len(got) <= _KEPT:
+            _powers[point] = got
     return got[:n]
 
 
+def halves(point: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The lower 31 bits of the powers, and the others."""
+    got = _halves.get(point)
+    if got is None or len(got[0]) < n:
+        whole = powers(point, max(n, 1 << 20))
+        got = whole & _LOW31, whole >> U(31)
+        if len(whole) <= _KEPT:
+            _halves[point] = got
+    return got[0][:n], got[1][:n]
+
+
+def _shift(point: int, by: np.ndarray) -> np.ndarray:
+    """point**-by modulo PRIME of each `by`, from three small tables."""
+    inverse = pow(point, -1, PRIME)
+    out = powers(inverse, 1 << 12)[by & 4095]
+    for bits in (12, 24, 36):
+        digit = (by >> bits) & 4095
+        if digit.any():
+            out = times(out, powers(pow(inverse, 1 << bits, PRIME), 1 << 12)[digit])
+    return out
+
+
+#: A run whose sums could pass 64 bits is summed in parts.
+_LONGEST = 1 << 23
+
+
+class Polynomial:
+    """Values of the polynomials whose coefficients are runs of an array."""
+
+    def __init__(self, values: np.ndarray, point: int, small: bool):
+        """values: below 2**9 if small, else below PRIME."""
+        self.point, n = point, len(values)
+        if small:
+            low, high = (values * half for half in halves(point, n))
+        else:
+            part = times(values, powers(point, n))
+            low, high = part & _LOW31, part >> U(31)
+        self.low, self.high = np.zeros(n + 1, U), np.zeros(n + 1, U)
+        np.cumsum(low, out=self.low[1:])
+        np.cumsum(high, out=self.high[1:])
+
+    def _sums(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            low, high = self.low[e] - self.low[s], self.high[e] - self.high[s]
+        high = (high & U(PRIME)) + (high >> U(61))
+        low = (low & U(PRIME)) + (low >> U(61)) + (high >> U(30)) + ((high & _LOW30) << U(31))
+        return (low & U(PRIME)) + (low >> U(61))
+
+    def of(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """Of each run values[s:e], whatever stands before it."""
+        total, at = self._sums(s, np.minimum(e, s + _LONGEST)), s + _LONGEST
+        while (at < e).any():
+            start = np.minimum(at, e)
+            total = modulo(total + self._sums(start, np.minimum(e, start + _LONGEST)))
+            at = at + _LONGEST
+        return times(total, _shift(self.point, s))
+
+
 def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and its document offsets; a null is an empty text."""
     if pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type):
@@ -97,12 +185,9 @@ def span_hashes(raw: np.ndarray, s: np.ndarray, e: np.ndarray, lower: bool = Tru
     """A 64-bit hash of each raw[s:e]; A-Z count as a-z if lower."""
     if not len(s):
         return np.zeros(0, U)
-    n = len(raw)
+    value = Polynomial((_LOWER_CODE if lower else _CODE)[raw], BYTE_POINT, True).of(s, e)
     with np.errstate(over="ignore"):
-        total = np.zeros(n + 1, U)
-        np.cumsum(_CODE[_LOWER[raw] if lower else raw] * powers(BASE, n), out=total[1:])
-        h = (total[e] - total[s]) * powers(BASE_INV, n + 1)[s]
-        return mix(h + (e - s).astype(U))
+        return mix(value + mix((e - s).astype(U)))
 
 
 def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
@@ -111,10 +196,10 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
     if m <= 0:
         return np.zeros(0, U)
     with np.errstate(over="ignore"):
-        out = np.zeros(m, U)
-        for i in range(k):
-            out = out * U(WORD_BASE) + h[i : i + m]
-        return mix(out)
+        out = mix(h[:m])
+        for i in range(1, k):
+            out = mix(out + h[i : i + m])
+        return out
 
 
 #: Bits of a shingle hash in a set; the rest of a word sorts by document. A piece has fewer than 2**12 documents.

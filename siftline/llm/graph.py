@@ -1,7 +1,9 @@
 """Connected components of an edge table by alternating large and small stars.
 
 Every round is joins and aggregations by key, and is written to the shared folder; the number of rounds grows
-with the logarithm of a component's size. No task and no driver sees a component whole.
+with the logarithm of a component's size. A node with more than HUB neighbours, and more than a MOST_HUBS-th of
+all edges' ends, is a hub: there are at most MOST_HUBS of them, their minima are broadcast, and their edges are
+joined where they lie; so a star's centre is no hot key, and no task and no driver sees a component whole.
 """
 
 from __future__ import annotations
@@ -11,7 +13,8 @@ from pyspark.sql import functions as F
 
 from siftline.llm.common import cut
 
-MOST_ROUNDS = 60
+HUB = 1000
+MOST_HUBS = 50_000
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -19,27 +22,32 @@ def _state(edges: DataFrame) -> tuple:
     return r["n"], r["s"]
 
 
+def _with_least(edges: DataFrame, most: int) -> DataFrame:
+    """edges (a, b) with m, the smallest b of each a; an a with more than `most` rows is a hub."""
+    low = edges.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("d"))
+    hubs = F.broadcast(low.filter(F.col("d") > most).select("u", "m"))
+    of_hubs = edges.join(hubs, edges["a"] == hubs["u"]).select("a", "b", "m")
+    rest = edges.join(hubs.select("u"), edges["a"] == hubs["u"], "left_anti")
+    others = low.filter(F.col("d") <= most).select("u", "m")
+    return of_hubs.unionByName(rest.join(others, rest["a"] == others["u"]).select("a", "b", "m"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component) for every node of an edge (a, b: long); loops and repeats are allowed."""
     # a > b in every edge
     now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _state(now)
-    for _ in range(MOST_ROUNDS):
-        if not before[0]:
-            break
+    while before[0]:
+        most = max(HUB, 2 * before[0] // MOST_HUBS)
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("m", "a").alias("m"))
-        # large star: larger neighbours of u go to the smallest node around u
-        large = both.join(low, both["a"] == low["u"]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        # small star: u and its smaller neighbours go to the smallest of them
-        least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-        near = large.join(least, large["a"] == least["u"]).select("a", "b", "m")
+        # large star: larger neighbours of a go to the smallest node around a
+        large = _with_least(both, most).filter("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
+        # small star: a and its smaller neighbours go to the smallest of them
+        near = _with_least(large, most)
         small = near.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(near.select("a", F.col("m").alias("b"))).distinct()
         now = cut(small)
         after = _state(now)
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("the components didn't settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

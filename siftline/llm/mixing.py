@@ -71,22 +71,24 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, epochs: float =
     rate = rates(df, weights, epochs, text_col, source_col).select("mix_source", "has_source", "rate")
     rate = rate.select("mix_source", "has_source", parts.alias("mix_parts"), _cdf(F.col("rate") / parts).alias("mix_cdf"))
     ident = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text"), F.md5(F.coalesce(text_col, F.lit("")))))
-    name, has, key, n, at = (fresh(df, c) for c in ("mix_key", "mix_has", "mix_id", "mix_n", "mix_at"))
+    name, has, key, n, at, cdf, parts, source, real = (fresh(df, f"mix_{c}") for c in ("key", "has", "id", "n", "at", "cdf", "parts", "source", "real"))
+    rate = rate.toDF(source, real, parts, cdf)
     rows = df.withColumns({name: F.coalesce(F.col(source_col).cast("string"), F.lit("")), has: F.col(source_col).isNotNull(), key: ident})
-    if fits(rate.select("mix_source"), MAX_SOURCES):
-        joined = rows.join(F.broadcast(rate), (rows[name] == rate["mix_source"]) & (rows[has] == rate["has_source"]))
+    same = (F.col(name) == F.col(source)) & (F.col(has) == F.col(real))
+    if fits(rate.select(source), MAX_SOURCES):
+        joined = rows.join(F.broadcast(rate), same)
     else:
-        salt = fresh(rows, "mix_salt")
+        salt, own = fresh(df, "mix_salt"), fresh(df, "mix_own")
         rows = rows.withColumn(salt, F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
-        rate = rate.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.join(rate, (rows[name] == rate["mix_source"]) & (rows[has] == rate["has_source"]) & (rows[salt] == rate["salt"])).drop("salt", salt)
+        rate = rate.withColumn(own, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.join(rate, same & (F.col(salt) == F.col(own))).drop(salt, own)
 
     def draw(i):
         u = uniform(F.lit(str(seed)), i.cast("string"), F.col(key))
-        return F.size(F.filter("mix_cdf", lambda c: c <= u))
+        return F.size(F.filter(cdf, lambda c: c <= u))
 
-    count = F.aggregate(F.sequence(F.lit(1), F.col("mix_parts")), F.lit(0), lambda acc, i: acc + draw(i))
-    drawn = joined.withColumn(n, count).filter(F.col(n) > 0).drop("mix_source", "has_source", "mix_parts", "mix_cdf", name, has)
+    count = F.aggregate(F.sequence(F.lit(1), F.col(parts)), F.lit(0), lambda acc, i: acc + draw(i))
+    drawn = joined.withColumn(n, count).filter(F.col(n) > 0).drop(source, real, parts, cdf, name, has)
     copies = drawn.withColumn(at, F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
     deal = F.xxhash64(F.lit(seed), F.col(key), F.col(at))
     order = F.xxhash64(F.lit(seed + 1), F.col(key), F.col(at))

@@ -12,7 +12,8 @@
    the signatures. A long list is dealt in blocks, and each pair of blocks meets in one task; of the pairs that
    reach MATCHES a task returns a spanning forest only. Their components are candidate families.
 5. Links are confirmed on full sets within families, again in pairs of blocks and returned as a spanning
-   forest; texts already linked in a block aren't compared again. Components of confirmed links are the result.
+   forest; texts already linked in a block aren't compared again, nor those that agree on fewer than half of
+   MATCHES coordinates (two sets at the threshold do with a chance below 1e-15). Components of confirmed links are the result.
 
 Nothing grows with the square of a group: tasks return forests, and no pair list exists.
 
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftline.llm import bytes_np as b
-from siftline.llm.common import cut, map_arrow, pieces
+from siftline.llm.common import cut, fits, fresh, map_arrow, pieces, row_key
 from siftline.llm.graph import components
 
 SHINGLE_WORDS = 5
@@ -72,11 +73,6 @@ def _digests(sets: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         return sums[0].view(np.int64), sums[1].view(np.int64)
 
 
-def row_key(id_col: str = "doc_id", text_col: str = "text"):
-    """Tells rows with different ids or texts apart."""
-    return F.xxhash64(F.col(id_col).isNull(), F.coalesce(F.col(id_col).cast("string"), F.lit("")), text_col)
-
-
 class _Forest:
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -170,7 +166,7 @@ def _meet(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def sketch(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, row_key, n_shingles, digests h1 and h2, and sig of each row; the last three are null for an empty set."""
-    schema = T.StructType([df.schema[id_col], T.StructField("row_key", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("sig", T.BinaryType())])
+    schema = T.StructType([df.schema[id_col], T.StructField("row_key", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("sig", T.BinaryType())])
 
     def run(batches):
         for batch in pieces(batches, text_col):
@@ -252,7 +248,7 @@ def _confirmed(df: DataFrame, classes: DataFrame, families: DataFrame, id_col: s
             across, forest, edges = t.column("bi")[0] != t.column("bj")[0], _Forest(t.num_rows), []
             sets = [np.frombuffer(s, b.U) for s in t.column("shingles").to_pylist()]
             for i in range(t.num_rows - 1):
-                at = _partners(i, sig, n, block, across, matches, percent).tolist()
+                at = _partners(i, sig, n, block, across, matches // 2, percent).tolist()
                 at = [j for j in at if forest.find(i) != forest.find(j)]
                 for a in range(0, len(at), 64):
                     part = at[a : a + 64]
@@ -267,6 +263,16 @@ def _confirmed(df: DataFrame, classes: DataFrame, families: DataFrame, id_col: s
     return map_arrow(rows, lambda batches: _flush(check(batches)), _EDGE)
 
 
+def _numbered(classes: DataFrame) -> DataFrame:
+    """classes with node: h1, or a mix of both digests where several classes have one h1."""
+    alike = classes.groupBy(F.col("h1").alias("shared")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("shared")
+    if not alike.limit(1).count():
+        return classes.withColumn("node", F.col("h1"))
+    alike = F.broadcast(alike) if fits(alike, 100_000) else alike
+    node = F.when(F.col("shared").isNull(), F.col("h1")).otherwise(F.xxhash64("h1", "h2"))
+    return cut(classes.join(alike, F.col("h1") == F.col("shared"), "left").withColumn("node", node).drop("shared"))
+
+
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, percent: int = PERCENT, matches: int = MATCHES) -> DataFrame:
     """doc_id, row_key, n_shingles, component_id, first_key, kept of each row of df.
 
@@ -275,13 +281,13 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     rows = cut(sketch(df, id_col, text_col, words))
     rep = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("row_key"))
     classes = rows.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min(rep).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-    classes = cut(classes.withColumnRenamed("h1", "node").drop("h2"))
+    classes = _numbered(cut(classes))
     families = cut(_families(classes, matches, percent))
     linked = cut(components(_confirmed(df, classes, families, id_col, text_col, words, matches, percent)))
     of_root = linked.join(classes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("best"))
     best = linked.join(of_root, "root").select("node", "best")
-    stand = classes.select("node", "rep").join(best, "node", "left").select("node", F.coalesce("best", "rep").alias("rep"))
-    filled = rows.filter("n_shingles > 0").select(id_col, "row_key", "n_shingles", "h1").join(stand, F.col("h1") == stand["node"], "left")
+    stand = classes.select("node", "h1", "h2", "rep").join(best, "node", "left").select("h1", "h2", F.coalesce("best", "rep").alias("rep"))
+    filled = rows.filter("n_shingles > 0").select(id_col, "row_key", "n_shingles", "h1", "h2").join(stand, ["h1", "h2"], "left")
     kept = F.coalesce(F.col(id_col) == F.col("rep.id"), F.col("row_key") == F.col("rep.row_key"))
     filled = filled.select(id_col, "row_key", "n_shingles", F.col("rep.id").alias("component_id"), F.col("rep.row_key").alias("first_key"), kept.alias("kept"))
     empty = rows.filter("n_shingles = 0").select(id_col, "row_key", "n_shingles", F.col(id_col).alias("component_id"), F.col("row_key").alias("first_key"), F.lit(True).alias("kept"))
@@ -291,7 +297,8 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """df with one row of each component: that of the smallest id. Rows without words all stay."""
     verdict = judge(df, id_col, text_col, **options)
-    first = verdict.filter("n_shingles > 0 AND row_key = first_key").select(F.col("row_key").alias("keep_key")).distinct()
+    key = fresh(df, "keep_key")
+    first = verdict.filter("n_shingles > 0 AND row_key = first_key").select(F.col("row_key").alias(key)).distinct()
     worded = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    keyed = df.filter(worded).withColumn("keep_key", row_key(id_col, text_col))
-    return keyed.join(first, "keep_key", "left_semi").dropDuplicates(["keep_key"]).drop("keep_key").unionByName(df.filter(~worded))
+    keyed = df.filter(worded).withColumn(key, row_key(id_col, text_col))
+    return keyed.join(first, key, "left_semi").dropDuplicates([key]).drop(key).unionByName(df.filter(~worded))

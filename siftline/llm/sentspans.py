@@ -3,7 +3,7 @@
 A sentence ends with a line, or with a word whose trailing marks have one of .!?,;:| (so that clauses count,
 as a passage seldom has several full stops). A span begins at each sentence and takes the sentences that
 follow until it has SENTENCES of them and MIN_WORDS words, or LONG_WORDS words however few sentences. It is
-known by a hash of its lower-cased words, so white space and line ends don't matter. Fewer than SENTENCES of
+known by 95 bits of two hashes of its lower-cased words, so white space and line ends don't matter. Fewer than SENTENCES of
 them with short_words words are a second, shorter span: a passage that begins and ends within sentences has few whole ones.
 
 Spans are joined globally: of each hash the smallest doc_id that has it, and how many documents do, counted
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftline.llm import bytes_np as b
-from siftline.llm.common import fresh, map_arrow, pieces
+from siftline.llm.common import cut, fresh, map_arrow, pieces
 
 SENTENCES = 3
 MIN_WORDS = 20
@@ -71,11 +71,11 @@ class Spans:
         self.stop = np.stack([stop, short], 1)  #: of the span of a sentence, and of the shorter one
         whole = np.stack([stop < end, (short < end) & (short < stop) & (short < m + sentences - 1)], 1)
         self.at, self.kind = np.nonzero(whole)
+        a, z = self.begin[self.at], self.last[self.stop[self.at, self.kind]] + 1
+        h = b.modulo(h)
+        size = b.mix((z - a).astype(np.uint64))
         with np.errstate(over="ignore"):
-            total = np.concatenate(([np.uint64(0)], np.cumsum(h * b.powers(b.WORD_BASE, n))))
-            a, z = self.begin[self.at], self.last[self.stop[self.at, self.kind]] + 1
-            back = b.powers(pow(b.WORD_BASE, -1, 1 << 64), n + 1)[a]
-            self.hash = b.mix((total[z] - total[a]) * back + (z - a).astype(np.uint64))
+            self.hash, self.check = (b.mix(b.Polynomial(h, point, False).of(a, z) + size) for point in b.WORD_POINTS)
         # of equal spans in a text, the later ones
         with np.errstate(over="ignore"):
             own = self.hash ^ b.mix(self.doc[self.at].astype(np.uint64) + np.uint64(1))
@@ -111,23 +111,24 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     df = df.drop("n_sentences", "n_removed")
     tag, found = fresh(df, "tag"), fresh(df, "found")
     df = df.withColumn(tag, F.xxhash64(text_col))
-    row = T.StructType([df.schema[id_col], T.StructField("tag", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("h", T.LongType())])
+    row = T.StructType([df.schema[id_col], T.StructField(tag, T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("g", T.IntegerType())])
 
     def spans(batches):
         for batch in pieces(batches, text_col):
             sp = Spans(*b.flat(batch.column(text_col)), sentences, min_words, long_words, short_words)
             once = ~sp.again
-            at, kind, h = sp.at[once], sp.kind[once], sp.hash[once]
+            at, kind, h, g = sp.at[once], sp.kind[once], sp.hash[once], sp.check[once]
             doc = sp.doc[at]
-            cols = [batch.column(id_col).take(pa.array(doc)), batch.column(tag).take(pa.array(doc)), pa.array((2 * (at - sp.first[doc]) + kind).astype(np.int32)), pa.array(h.view(np.int64))]
+            cols = [batch.column(id_col).take(pa.array(doc)), batch.column(tag).take(pa.array(doc)), pa.array((2 * (at - sp.first[doc]) + kind).astype(np.int32)), pa.array(h.view(np.int64)), pa.array((g & np.uint64(0x7FFFFFFF)).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(cols, names=row.names)
 
-    all_spans = map_arrow(df.select(id_col, tag, text_col), spans, row)
-    id_of = F.col(id_col)
-    shared = all_spans.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(id_of).alias("first_id")).filter("n > 1").select("h", "first_id")
-    later = all_spans.join(shared, "h").filter(~id_of.eqNullSafe(F.col("first_id")))
-    by_row = later.groupBy(id_of.alias("row_id"), F.col("tag").alias("row_tag")).agg(F.collect_set("at").alias(found))
-    joined = df.join(by_row, df[id_col].eqNullSafe(by_row["row_id"]) & df[tag].eqNullSafe(by_row["row_tag"]), "left").drop("row_id", "row_tag")
+    all_spans = cut(map_arrow(df.select(F.col(id_col).alias(id_col), tag, text_col), spans, row))
+    own, own_tag = fresh(df, "row_id"), fresh(df, "row_tag")
+    all_spans = all_spans.select(F.col(id_col).alias(own), F.col(tag).alias(own_tag), "at", "h", "g")
+    shared = all_spans.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(own).alias("first_id")).filter("n > 1").select("h", "g", "first_id")
+    later = all_spans.join(shared, ["h", "g"]).filter(~F.col(own).eqNullSafe(F.col("first_id")))
+    by_row = later.groupBy(own, own_tag).agg(F.collect_set("at").alias(found))
+    joined = df.join(by_row, F.col(id_col).eqNullSafe(F.col(own)) & F.col(tag).eqNullSafe(F.col(own_tag)), "left").drop(own, own_tag)
     keep = [f for f in df.schema.fields if f.name != tag]
     out = T.StructType([*keep, T.StructField("n_sentences", T.LongType(), False), T.StructField("n_removed", T.LongType(), False)])
 

@@ -621,3 +621,40 @@ def test_hashes_do_not_depend_on_the_piece():
     alone = [bytes_np.shingle_sets(*bytes_np.flat(pa.array([t])), 5)[0].tolist() for t in texts]
     v, o = bytes_np.shingle_sets(*bytes_np.flat(pa.array(["pad pad"] + texts)), 5)
     assert [v[o[i] : o[i + 1]].tolist() for i in range(1, 5)] == alone
+
+
+def test_hashes_tell_regular_strings_apart(spark):
+    flip = lambda t: t.translate(str.maketrans("ab", "ba"))
+    morse = "".join("ab"[i.bit_count() % 2] for i in range(4096))
+    pairs = [(morse[:n], flip(morse[:n])) for n in (64, 1024, 2048, 4096)]
+    texts = [f"{x}\n{y}\n{x}" for x, y in pairs]
+    model = linecrf.Model(np.zeros((len(linecrf.FEATURES), 2)), np.zeros((2, 2)), np.zeros(2))
+    assert [r.n_dup_lines for r in linecrf.judge(docs(spark, texts), model).orderBy("doc_id").collect()] == [1] * 4
+    words = lambda t: " ".join("xy"["ab".index(c)] + "." * (i % 40 == 39) for i, c in enumerate(t))
+    spans = [words(morse[:1024]), words(flip(morse[:1024]))]
+    sets = bytes_np.shingle_sets(*bytes_np.flat(pa.array(spans)), 5)
+    plain = [{tuple(t.split()[i : i + 5]) for i in range(1020)} for t in spans]
+    assert np.diff(sets[1]).tolist() == [len(x) for x in plain]
+    whole = [" ".join(["one", *(("p" if c == "a" else "q") for c in x), "end."]) for x in pairs[1]]
+    assert [r.n_removed for r in sentspans.remove_repeats(docs(spark, whole)).collect()] == [0, 0]
+
+
+@pytest.mark.parametrize("longest", [100, 1 << 23])
+def test_polynomials_are_of_runs_alone(monkeypatch, longest):
+    monkeypatch.setattr(bytes_np, "_LONGEST", longest)
+    rng = np.random.default_rng(3)
+    for values, point, small in ((rng.integers(0, 257, 9000, dtype=np.uint64), bytes_np.BYTE_POINT, True), (rng.integers(0, bytes_np.PRIME, 9000, dtype=np.uint64), bytes_np.WORD_POINTS[0], False)):
+        p = bytes_np.Polynomial(values, point, small)
+        s = rng.integers(0, 8000, 50)
+        e = s + rng.integers(0, 900, 50)
+        want = [sum(int(v) * pow(point, i, bytes_np.PRIME) for i, v in enumerate(values[a:z])) % bytes_np.PRIME for a, z in zip(s, e)]
+        assert p.of(s, e).tolist() == want
+
+
+def test_helper_columns_may_be_there_already(spark):
+    rows = ["one two three four five six seven", "one two three four five six seven", "mail a@b.c today", None, ""]
+    names = "keep_key key span_key held row_key row_id row_tag tag found mix_key mix_has mix_id mix_n mix_at mix_cdf mix_parts mix_source mix_real mix_place h g at node root base t spans".split()
+    df = docs(spark, rows).withColumns({n: F.concat(F.lit(f"own {n} "), F.col("doc_id").cast("string")) for n in names})
+    for out in (neardup.keep_first(df), pii.sanitise(df), sentspans.remove_repeats(df), mixing.mix(df, epochs=3.0)):
+        got = out.collect()
+        assert got and set(df.columns) <= set(out.columns) and all(r[n] == f"own {n} {r.doc_id}" for r in got for n in names)
