@@ -7,8 +7,9 @@ For training these are out-of-fold predictions (FOLDS folds by a hash of the doc
 never sees probabilities of models that were fitted on the same row. The last category's threshold is the
 one with the best F1 on its out-of-fold predictions, rows weighted up to all labelled ones.
 
-Labels: the last category, `toxic`, is the given label. Earlier ones are weak: a toxic text with a word of
-the category's LEXICON. The sample is bounded: PER_CLASS texts of each label, of MAX_CHARS at most.
+Labels: any columns of 0/1 labels, one a category, in the chain's order; by default the two given ones, low
+quality before toxic. A null label of an earlier category counts as not having it. The sample is bounded:
+PER_CLASS texts of each value of the last label, of MAX_CHARS at most.
 
 Defined results: a null or empty text has no features and is judged by the models' intercepts, but is never
 toxic; without texts of both labels nothing is toxic and probabilities are 0; repeated rows repeat their
@@ -35,12 +36,8 @@ PER_CLASS = 2000
 MAX_CHARS = 60_000
 BEST_FEATURES = 512
 MIN_TEXTS = 4
-#: Weak labels of the earlier categories.
-LEXICON = {
-    "insult": ["idiot", "moron", "stupid", "loser", "clown", "fool", "dumb", "pathetic", "imbecile", "jerk"],
-    "degrading": ["scum", "trash", "worthless", "disgusting", "vermin", "filth", "garbage", "subhuman", "pig", "rat"],
-}
-CATEGORIES = [*LEXICON, "toxic"]
+#: Category, its label's column, and the label's value for texts that have it; the last decides.
+CATEGORIES = [("low_quality", "quality", 0), ("toxic", "toxic", 1)]
 
 
 def features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,35 +144,31 @@ def fit(doc: np.ndarray, ids: np.ndarray, labels: np.ndarray, fold: np.ndarray,
     return Chain(categories, models, threshold)
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Chain | None:
-    """Fit on a bounded sample of the labelled documents: labels has doc_id and toxic; None without both labels."""
-    sizes = {r["toxic"]: r["count"] for r in labels.filter(F.col("toxic").isin(0, 1)).groupBy("toxic").count().collect()}
+def train(docs: DataFrame, labels: DataFrame, categories: list[tuple[str, str, int]] = CATEGORIES) -> Chain | None:
+    """Fit on a bounded sample of the labelled documents: labels has doc_id and the label columns; None without both values of the last."""
+    last, yes = categories[-1][1:]
+    given = labels.filter(F.col(last).isin(0, 1)).select("doc_id", *{c: F.col(c) for _, c, _ in categories}.values())
+    sizes = {r[last]: r["count"] for r in given.groupBy(last).count().collect()}
     if len(sizes) < 2:
         return None
-    chosen = sample_per_class(labels.select("doc_id", "toxic").filter(F.col("toxic").isin(0, 1)), "toxic", PER_CLASS, "doc_id").dropDuplicates(["doc_id"])
+    chosen = sample_per_class(given, last, PER_CLASS, "doc_id").dropDuplicates(["doc_id"])
     chosen = F.broadcast(chosen) if fits(chosen, 8 * PER_CLASS) else chosen
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").filter((F.length("text") > 0) & (F.length("text") <= MAX_CHARS))
     fold = F.pmod(F.xxhash64(F.lit("fold"), F.col("doc_id").cast("string")), F.lit(FOLDS)).cast("int")
     rows = rows.withColumn("fold", fold).orderBy("doc_id", "text").collect()
-    toxic = np.array([r["toxic"] == 1 for r in rows], bool)
+    has = np.array([[r[c] == v for _, c, v in categories] for r in rows], bool).reshape(len(rows), len(categories))
+    toxic = has[:, -1]
     if not rows or toxic.all() or not toxic.any():
         return None
     doc, ids = features(*b.flat(pa.array([r["text"] for r in rows], pa.string())))
-    labels_of = []
-    for words in LEXICON.values():
-        wanted = pa.array(words, pa.string())
-        _, own = features(*b.flat(wanted))
-        s, e, _ = b.runs(*b.flat(wanted), b.WORD_BYTES)
-        own = b.span_hashes(b.flat(wanted)[0], s, e) >> b.U(64 - HASH_BITS)
-        labels_of.append(toxic & np.isin(np.arange(len(rows)), doc[np.isin(ids, own.astype(np.int64))]))
-    share = {k: sum(toxic == bool(k)) / n for k, n in sizes.items()}
-    weight = np.where(toxic, 1 / share[1], 1 / share[0])
-    return fit(doc, ids, np.stack([*labels_of, toxic], 1), np.array([r["fold"] for r in rows]), weight, CATEGORIES)
+    share = {k: sum(toxic == (k == yes)) / n for k, n in sizes.items()}
+    weight = np.where(toxic, 1 / share[yes], 1 / share[1 - yes])
+    return fit(doc, ids, has, np.array([r["fold"] for r in rows]), weight, [name for name, *_ in categories])
 
 
 def judge(df: DataFrame, chain: Chain | None, text_col: str = "text") -> DataFrame:
     """df with p_<category> for each category of the chain, and toxic."""
-    names = [f"p_{c}" for c in (chain.categories if chain else CATEGORIES)]
+    names = [f"p_{c}" for c in (chain.categories if chain else [name for name, *_ in CATEGORIES])]
     keep = [f for f in df.schema.fields if f.name not in (*names, "toxic")]
     out = T.StructType([*keep, *(T.StructField(n, T.DoubleType(), False) for n in names), T.StructField("toxic", T.BooleanType(), False)])
     shared = df.sparkSession.sparkContext.broadcast(chain)

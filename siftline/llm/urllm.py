@@ -1,9 +1,9 @@
 """URL filter by a ratio of character language models: smoothed variable-order Markov models of accepted and rejected URLs.
 
 Counts of (context, next character) for contexts of 0 to ORDER characters are taken over every URL that a
-rule decides, in each class, with map-side aggregation. A context stays in the model as far as its count
-carries it (MIN_COUNT), so how long a context is varies; probabilities are interpolated with those of the
-shorter contexts by the Witten-Bell method, down to a uniform distribution. A URL's score is the difference of
+rule decides, in each class, with map-side aggregation. A context is in the model, with every character that
+follows it, if it occurs MIN_COUNT times, so how long a context is varies; probabilities are interpolated with
+those of the shorter contexts by the Witten-Bell method, down to a uniform distribution, and sum to 1 in each. A URL's score is the difference of
 its log likelihoods under the two models over its length. A fifth of the decided URLs, by a hash, is left out
 of a first pair of models; a logistic curve fitted on their scores (binned, classes weighted alike) turns
 scores into probabilities, and 0.5 decides. The scores themselves are of models that count all of them.
@@ -127,7 +127,7 @@ def train(df: DataFrame, url: str = "url", label: str = "verdict") -> Ratio | Ta
     """The models of the URLs labelled allow and block; None without both."""
     grams = counts(df, url, label)
     nodes = grams.groupBy("label", "context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
-    both = cut(grams.join(nodes, ["label", "context"]).filter(F.col("n") >= MIN_COUNT))
+    both = cut(grams.join(nodes, ["label", "context"]).filter(F.col("total") >= MIN_COUNT))
     if not {"allow", "block"} <= {r["label"] for r in both.select("label").distinct().collect()}:
         return None
     if not fits(both, MAX_ENTRIES):

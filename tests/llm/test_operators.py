@@ -234,6 +234,18 @@ def test_url_models_of_any_size(spark, monkeypatch):
     assert {x.page_id: x for x in urllm.judge(pages, rules).collect()} == want and len(want) == len(urls)
 
 
+def test_url_models_are_distributions(spark):
+    rows = [(x, u) for x in ("allow", "block") for (u,) in duckdb.sql("SELECT url FROM '/root/testdata/sf0.001/pages.parquet'").fetchall()] + [("allow", "xyz" * 3000), ("block", "q")]
+    ratio = urllm.train(spark.createDataFrame(rows, "verdict string, url string"))
+    for model in (ratio.accepted, ratio.rejected):
+        for context, (_, _, chars) in model.nodes.items():
+            rest = urllm.ALPHABET - len({c for k in range(len(context) + 1) for c in model.nodes[context[k:]][2]})
+            seen = {c for k in range(len(context) + 1) for c in model.nodes[context[k:]][2]}
+            assert sum(model.probability(context, c) for c in seen) + rest * model.probability(context, "\uffff") == pytest.approx(1)
+    long = urllm.score(spark.createDataFrame([("xyz" * 3000,), ("q",)], "url string"), ratio).collect()
+    assert long[0].llr > 0 > long[1].llr
+
+
 def test_url_models_count_all_decided_urls(spark):
     # all blocked URLs are one, which the hash holds out: the models have both classes all the same
     for i in range(100):
@@ -248,25 +260,68 @@ def test_url_models_count_all_decided_urls(spark):
 # ----------------------------------------------------------------- 4 toxicity
 
 
-def test_classifier_chain(spark):
+def toxic_texts(n=400):
     r = random.Random(3)
-    plain, rude = ["stone", "river", "green", "walk", "seven", "lamp", "paper", "cloud"], ["idiot", "scum", "loweisch", "loweient"]
+    plain, rude = ["stone", "river", "green", "walk", "seven", "lamp", "paper", "cloud"], ["blarg", "scrum", "loweisch", "loweient"]
     rows, labels = [], []
-    for i in range(400):
+    for i in range(n):
         words = [r.choice(plain) for _ in range(40)]
-        bad = i % 4 == 0
-        if bad:
+        if i % 3 == 0:
+            words[5:9] = ["buy", "now", "cheap", "click"]
+        if i % 4 == 0:
             words[r.randrange(40)] = r.choice(rude)
         rows.append(" ".join(words))
-        labels.append((i, int(bad)))
-    rows += ["", None, "LOWEICHEN stone river", " ".join(plain) * 5000]
-    df, lab = docs(spark, rows).withColumn("toxic", F.lit("clash")), spark.createDataFrame(labels, "doc_id long, toxic int")
+        labels.append((i, int(i % 3 != 0), int(i % 4 == 0)))
+    return rows, labels
+
+
+def test_classifier_chain(spark):
+    rows, labels = toxic_texts()
+    rows += ["", None, "LOWEICHEN stone river", "stone river paper " * 15000, "LOWEICHEN stone river"]
+    df, lab = docs(spark, rows).withColumn("toxic", F.lit("clash")), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     chain = toxicity.train(df, lab)
-    assert [len(m.chain) for m in chain.models] == [0, 1, 2]
-    got = {x.doc_id: x for x in toxicity.judge(df, chain).collect()}
-    assert all(got[i].toxic == bool(t) for i, t in labels)
-    assert [got[i].toxic for i in range(400, 404)] == [False, False, True, False]
+    assert chain.categories == ["low_quality", "toxic"] and [len(m.chain) for m in chain.models] == [0, 1]
+    out = toxicity.judge(df.unionByName(df.limit(3)), chain)
+    got = {x.doc_id: x for x in out.collect()}
+    assert out.count() == len(rows) + 3 and all(got[i].toxic == bool(t) and (got[i].p_low_quality > 0.5) == (q == 0) for i, q, t in labels)
+    assert [got[i].toxic for i in range(400, 405)] == [False, False, True, False, True]
     assert toxicity.train(df, lab.filter("toxic = 0")) is None and not toxicity.judge(df, None).first().toxic
+    assert toxicity.judge(df.limit(0), chain).count() == 0 and toxicity.train(df.limit(0), lab) is None
+
+
+def test_classifier_chain_is_fitted_out_of_fold():
+    """Against the chain written out: each fold's earlier probabilities come from models of the other folds."""
+    rows, labels = toxic_texts(120)
+    y = np.array([[q == 0, t == 1] for _, q, t in labels])
+    fold, weight = np.arange(120) % toxicity.FOLDS, np.ones(120)
+    feature = lambda texts: toxicity.features(*bytes_np.flat(pa.array(texts)))
+    chain = toxicity.fit(*feature(rows), y, fold, weight, ["low_quality", "toxic"])
+    oof = np.zeros((120, 1))
+    for f in range(toxicity.FOLDS):
+        rest, own = [rows[i] for i in range(120) if fold[i] != f], [rows[i] for i in range(120) if fold[i] == f]
+        m = toxicity.fit_linear(*feature(rest), len(rest), np.zeros((len(rest), 0)), y[fold != f, 0], weight[fold != f])
+        for i, t in zip(np.flatnonzero(fold == f), own):
+            w = dict(zip(m.ids.tolist(), m.weights.tolist()))
+            oof[i, 0] = 1 / (1 + math.exp(-min(30, max(-30, m.bias + sum(w.get(x, 0.0) for x in feature([t])[1].tolist())))))
+    last = toxicity.fit_linear(*feature(rows), 120, oof, y[:, 1], weight)
+    assert np.allclose(last.chain, chain.models[1].chain, atol=1e-5) and np.allclose(last.weights, chain.models[1].weights, atol=1e-5) and (last.ids == chain.models[1].ids).all()
+    first = toxicity.fit_linear(*feature(rows), 120, np.zeros((120, 0)), y[:, 0], weight)
+    p = chain.predict(*feature(rows[:9]), 9)
+    doc, ids = feature(rows[:9])
+    one = [1 / (1 + math.exp(-(first.bias + first.table()[ids[doc == i]].sum()))) for i in range(9)]
+    two = [1 / (1 + math.exp(-(last.bias + last.table()[ids[doc == i]].sum() + last.chain[0] * one[i]))) for i in range(9)]
+    assert np.allclose(p, np.stack([one, two], 1), atol=1e-4)
+
+
+def test_classifier_chain_on_held_out_rows():
+    sf = "/root/testdata/sf0.1"
+    rows = duckdb.sql(f"SELECT doc_id, text, quality, toxic FROM '{sf}/documents.parquet' JOIN '{sf}/labels.parquet' USING (doc_id) WHERE length(text) BETWEEN 1 AND 60000 ORDER BY 1").fetchall()
+    learn, test = rows[::2], rows[1::2]
+    feature = lambda part: toxicity.features(*bytes_np.flat(pa.array([t for _, t, *_ in part])))
+    chain = toxicity.fit(*feature(learn), np.array([[q == 0, t == 1] for *_, q, t in learn]), np.arange(len(learn)) % toxicity.FOLDS, np.ones(len(learn)), ["low_quality", "toxic"])
+    said = chain.predict(*feature(test), len(test))[:, -1] >= chain.threshold
+    given = np.array([t == 1 for *_, t in test])
+    assert said[given].mean() > 0.85 and said[~given].mean() < 0.01
 
 
 # ----------------------------------------------------------- 5 near-duplicates
