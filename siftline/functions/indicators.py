@@ -17,7 +17,7 @@ INDICATORS = {
     "job_or_investment_bait": r"(?iU)\b(work from home|part[- ]time job|earn \S+ (per|a) day|daily income|guaranteed returns?|double your money|crypto|trading tips?|investment plan|task based)\b",
 }
 STRONG = ["credential_request", "payment_request", "account_threat", "job_or_investment_bait"]
-_IDENTIFIER = r"(?U)(?<!\S)\S+@\S+|\b(?:https?://|www\.)\S+|\b[\w-]{1,100}(?:\.[\w-]{1,100}){1,60}/\S*"
+_IDENTIFIER = r"(?U)(?<!\S)\S+@\S+|\b(?:https?://|www\.)\S+|(?<![\w-]|[\w-]\.)[\w-]++(?:\.[\w-]++)++/\S*"
 
 
 def find_indicators(text: Column) -> Column:

@@ -1,7 +1,8 @@
 """Text normalisation and entity extraction as Column expressions.
 
-Patterns use (?U), so that \\w, \\d and \\b are Unicode. Repetitions are bounded where a match could begin at
-every character: a long run must neither exhaust the regular expression engine's stack nor be rescanned from each place.
+Patterns use (?U), so that \\w, \\d and \\b are Unicode. Repetitions are possessive, and a match begins where its run
+begins (or the last match ended): a long run neither exhausts the regular expression engine's stack nor is it
+rescanned from each place. A host name has at most 127 labels.
 """
 
 from __future__ import annotations
@@ -15,14 +16,14 @@ from pyspark.sql import types as T
 
 from siftline.functions import once
 
-# Characters that are removed, currency names and top-level domains of bare addresses.
+# Characters that are removed, currency names, top-level domains of bare addresses, and the patterns below.
 INVISIBLE = "​‌‍‎‏‪‫‬‭‮⁠﻿­"
 CURRENCIES = {"₹": "INR", "rs": "INR", "rs.": "INR", "inr": "INR", "rupees": "INR", "$": "USD", "usd": "USD", "dollars": "USD", "€": "EUR", "eur": "EUR"}
 BARE_TLDS = ["com", "in", "net", "org", "info", "xyz", "top", "online", "site", "club", "co", "io", "ly", "me", "app", "link", "live", "shop", "biz"]
 
-_NUMBER = r"\d{1,3}(?:,\d{2,3}){1,20}(?:\.\d{1,2})?|\d{1,40}(?:\.\d{1,2})?"
-URL = rf"(?iU)(?<![@\w.-])((?:https?://|www\.)[^\s<>\"'()]+|(?:[a-z0-9-]+\.){{1,60}}(?:{'|'.join(BARE_TLDS)})(?:/[^\s<>\"'()]*)?)"
-EMAIL = r"(?iU)\b[\w.+-]{1,256}@[a-z0-9-]+(?:\.[a-z0-9-]+){0,60}\.[a-z]{2,}\b"
+_NUMBER = r"\d{1,3}(?:,\d{2,3})++(?:\.\d{1,2})?|(?:\G|(?<!\d))\d++(?:\.\d{1,2})?"
+URL = rf"(?iU)(?<![@\w.-])((?:https?://|www\.)[^\s<>\"'()]+|(?:[a-z0-9-]+\.){{1,127}}(?:{'|'.join(BARE_TLDS)})(?:/[^\s<>\"'()]*)?)"
+EMAIL = r"(?iU)(?:\G|(?<![\w.+-]))[\w.+-]++@[a-z0-9-]+(?:\.[a-z0-9-]+){0,126}\.[a-z]{2,}\b"
 UPI = r"(?iU)\b[\w.-]{1,256}@[a-z]{2,64}(?![\w.-])"
 PHONE = r"(?U)(?<![\d\w])(?:\+?91[\s-]?|0)?[6-9]\d{4}[\s-]?\d{5}(?!\d)"
 AMOUNT = rf"(?iU)(₹|rs\.?|inr|\$|usd|€|eur)\s*({_NUMBER})|({_NUMBER})\s*(rs\.?|inr|rupees|usd|dollars)\b"
@@ -89,7 +90,9 @@ def urls(col: Column) -> Column:
 
 
 def emails(col: Column) -> Column:
-    return F.array_distinct(F.transform(_all(col, EMAIL), F.lower))
+    """Addresses in lower case, each once, in order; marks before the first letter or digit don't belong to one."""
+    found = F.transform(_all(col, EMAIL), lambda e: F.regexp_replace(F.lower(e), r"\A[.+-]+", ""))
+    return F.array_distinct(F.filter(found, lambda e: ~e.startswith("@")))
 
 
 def upi_ids(col: Column) -> Column:

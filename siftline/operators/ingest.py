@@ -16,7 +16,7 @@ from siftline.functions.transactions import looks_like_alert, normalize_records,
 from siftline.functions.urls import normalize_urls, with_display_hosts
 from siftline.sources.raw import OcrEngine, image_type, json_records, tesseract, with_ocr, with_structured
 
-LONE_URL = r"(?i)\A(?:(?:(?:https?|hxxps?)(?:://|\[://\])|www\.)\S+|(?:[a-z0-9-]+(?:\.|\[\.\])){1,60}[a-z]{2,}(?:/\S*)?)\z"
+LONE_URL = r"(?i)\A(?:(?:(?:https?|hxxps?)(?:://|\[://\])|www\.)\S+|(?:[a-z0-9-]+(?:\.|\[\.\])){1,127}[a-z]{2,}(?:/\S*)?)\z"
 TYPES = ["message", "url", "transaction", "screenshot"]
 LOW_CONFIDENCE = 0.6
 FAILED_TEXT = 500

@@ -3,21 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftline.functions import once
 from siftline.functions import text as tx
 from siftline.functions import urls as ur
-from siftline.functions.dates import humanize
-from siftline.functions.transactions import KEYWORDS
-from siftline.operators.checks import check
-from siftline.operators.extract import extract
-from siftline.operators.ingest import ingest
+from siftline.functions.transactions import KEYWORDS, looks_like_alert
 from siftline.operators.redact import redact_text
-from siftline.operators.timeline import build_timeline
+from siftline.plans import cases
 from siftline.sources.raw import upsert
-from siftline.storage import settle
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,119 +79,51 @@ def doc_hash_dedupe(spark, sf_dir):
 
 
 def doc_redacted(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").filter(F.col("text").rlike("[0-9@]"))
-    return docs.select("doc_id", redact_text(F.col("text")).alias("text"))
-
-
-def conversation_participants(spark, sf_dir):
-    """First and second participant of each conversation, in order of appearance."""
-    c = _table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.min("turn").alias("at"), F.count(F.lit(1)).alias("n"))
-    names = F.transform(F.array_sort(F.collect_list(F.struct("at", "role"))), lambda x: x["role"])
-    return c.groupBy("conv_id").agg(names.alias("p"), F.sum("n").alias("turns")).select("conv_id", F.get("p", F.lit(0)).alias("first"), F.get("p", F.lit(1)).alias("second"), "turns")
-
-
-def conversation_message_stats(spark, sf_dir):
-    c = _table(spark, sf_dir, "conversations")
-    return c.groupBy("conv_id").agg(F.sum(F.length("text")).alias("chars"), F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("lines"))
-
-
-def conversation_issues(spark, sf_dir):
-    """M1 to M4 on conversations: each turn a message, each conversation a case; issues by type."""
-    c = _table(spark, sf_dir, "conversations")
-    none = F.lit(None).cast("string")
-    meta = F.create_map(F.lit("sender"), F.col("role"))
-    raw = c.select(F.col("conv_id").cast("string").alias("case_id"), F.col("turn").cast("int").alias("rec_ord"), F.lit("conversations").alias("source"), "text", F.lit(None).cast("binary").alias("bytes"), none.alias("json"), F.lit("message").alias("forced_type"), meta.alias("metadata"))
-    # each step's table is used several times by the next one
-    records = settle(extract(settle(ingest(raw))))
-    issues, _ = check(settle(build_timeline(records)[0]))
-    return issues.groupBy("issue_type", "severity").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("case_id").alias("cases"))
-
-
-# events as cases: a user is a case, an error is a contact, a purchase is a payment
-
-
-def _case(spark, sf_dir) -> DataFrame:
-    e = _table(spark, sf_dir, "events")
-    stage = F.when(F.col("event_type") == "error", 1).when(F.col("event_type") == "purchase", 3).otherwise(0)
-    return e.select(F.col("user_id").alias("case_id"), "event_id", "ts", "event_type", "value", stage.alias("stage"))
-
-
-def _order():
-    return W.partitionBy("case_id").orderBy("ts", "stage", "event_id")
-
-
-def case_timeline(spark, sf_dir):
-    """Sequence in a case, and the time since the event before it."""
-    e = _case(spark, sf_dir).withColumn("sequence", F.row_number().over(_order()))
-    seconds = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / 1_000_000)
-    gap = seconds(F.col("ts")) - seconds(F.lag("ts").over(_order()))
-    return e.select("case_id", "event_id", "sequence", humanize(gap).alias("since_previous"))
-
-
-def case_follow_ups(spark, sf_dir):
-    """Contacts after a payment in the same case."""
-    paid = F.coalesce(F.max(F.col("stage") == 3).over(_order().rowsBetween(W.unboundedPreceding, -1)), F.lit(False))
-    return _case(spark, sf_dir).withColumn("paid", paid).filter("paid AND stage = 1").groupBy("case_id").agg(F.count(F.lit(1)).alias("follow_ups"))
-
-
-def case_follow_debits(spark, sf_dir):
-    """Payments after any contact: the earliest contact of the case decides, so no range join is needed."""
-    e = _case(spark, sf_dir)
-    first = e.filter("stage = 1").groupBy("case_id").agg(F.min("ts").alias("contact"))
-    return e.filter("stage = 3").join(first, "case_id").filter("contact <= ts").select("case_id", "event_id", "value")
-
-
-def loss_by_case(spark, sf_dir):
-    e = _case(spark, sf_dir).filter("stage = 3")
-    return e.groupBy("case_id").agg(F.round(F.sum(F.col("value").cast("decimal(18,4)")), 2).cast("double").alias("loss"), F.count(F.lit(1)).alias("payments"))
-
-
-def first_contact_loss(spark, sf_dir):
-    t = lambda s: F.min(F.when(F.col("stage") == s, F.col("ts")))
-    e = _case(spark, sf_dir).groupBy("case_id").agg(t(1).alias("first_contact"), t(3).alias("first_loss"))
-    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    return e.select("case_id", us("first_contact").alias("contact_us"), us("first_loss").alias("loss_us"), F.when(F.col("first_loss") >= F.col("first_contact"), F.floor((us("first_loss") - us("first_contact")) / 1_000_000)).alias("seconds_to_loss"))
-
-
-def attack_chain(spark, sf_dir):
-    """Distinct event types of a case in order of first appearance."""
-    e = _case(spark, sf_dir).withColumn("sequence", F.row_number().over(_order())).groupBy("case_id", "event_type").agg(F.min("sequence").alias("at"))
-    return e.groupBy("case_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "event_type"))), lambda x: x["event_type"]), " → ").alias("chain"))
-
-
-def reference_groups(spark, sf_dir):
-    """Rows of one reference that disagree: different flags, and the spread of amounts and dates."""
-    rows = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_returnflag").alias("flags"), F.count_distinct("l_linestatus").alias("statuses"), F.round(F.max("l_extendedprice") - F.min("l_extendedprice"), 2).alias("amount_spread"), F.datediff(F.max("l_shipdate"), F.min("l_shipdate")).alias("day_spread"))
-    return rows.filter("n >= 2")
+    """E-mail addresses of all documents replaced."""
+    return _table(spark, sf_dir, "documents").select("doc_id", redact_text(F.col("text"), ["email"]).alias("text"))
+
+
+def _made_url():
+    """Addresses made from a page's number, so that each signal occurs."""
+    n = F.col("page_id")
+    return (
+        F.when(n % 6 == 0, F.format_string("http://sbi-login%d.top/verify", n))
+        .when(n % 6 == 1, F.format_string("http://a.b.c.d.x%d99999.xyz/account", n))
+        .when(n % 6 == 2, F.concat(F.format_string("https://my-free-prize-win%d.click/otp?x=", n), F.repeat(F.lit("a"), F.lit(100))))
+        .when(n % 6 == 3, F.lit(f"http://www.{LEGITIMATE}/login"))
+        .when(n % 6 == 4, F.format_string("https://paytm.kyc-update.example%d.com/", n))
+        .otherwise(F.col("url"))
+    )
 
 
-def unique_payments(spark, sf_dir):
-    """The first payment of each reference counts; those without one all count."""
-    o = _table(spark, sf_dir, "orders").select(F.when(F.col("o_orderpriority") != "5-LOW", F.concat_ws("/", "o_custkey", F.col("o_orderdate").cast("date"))).alias("ref"), "o_custkey", "o_orderkey", "o_totalprice")
-    nth = F.row_number().over(W.partitionBy("o_custkey", F.coalesce("ref", F.col("o_orderkey").cast("string"))).orderBy("o_orderkey"))
-    return o.withColumn("nth", nth).filter("nth = 1").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("payments"), F.round(F.sum(F.col("o_totalprice").cast("decimal(18,2)")), 2).cast("double").alias("loss"))
+#: A brand's own domain.
+LEGITIMATE = sorted(d for ds in ur.BRANDS.values() for d in ds)[0]
 
 
-def name_conflicts(spark, sf_dir):
-    """One name behind several identifiers: nations named by customers of several segments."""
-    p = _table(spark, sf_dir, "customer").join(F.broadcast(_table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    return p.groupBy(F.lower("n_name").alias("name")).agg(F.count_distinct("c_mktsegment").alias("identifiers"), F.array_join(F.sort_array(F.collect_set("c_mktsegment")), ",").alias("shown"), F.count(F.lit(1)).alias("n")).filter("identifiers >= 2")
+def url_made_signals(spark, sf_dir):
+    """Reputation of the made addresses: score, verdict and every signal."""
+    u = _table(spark, sf_dir, "pages").select("page_id", F.get(ur.normalize_urls(F.array(_made_url())), F.lit(0)).alias("u"))
+    r = u.select("page_id", F.get(ur.reputations(F.array("u")), F.lit(0)).alias("r"))
+    return r.select("page_id", F.col("r.score").alias("score"), F.col("r.verdict").alias("verdict"), F.array_join(F.transform("r.signals", lambda s: s["name"]), ",").alias("signals"))
 
 
-def cross_references(spark, sf_dir):
-    """Each document with the labels that refer to it, also where none does."""
-    refs = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.count(F.lit(1)).alias("labels"), F.max("toxic").alias("toxic"))
-    return _table(spark, sf_dir, "documents").select("doc_id", "lang").join(refs, "doc_id", "left").select("doc_id", "lang", F.coalesce("labels", F.lit(0)).cast("long").alias("labels"), "toxic")
+def _made_alert():
+    """Bank alerts, defanged links and plain texts made from an order."""
+    k, cents = F.col("o_orderkey"), F.format_number(F.col("o_orderkey") * 137 % 900000 + F.lit(100), 0)
+    return (
+        F.when(k % 4 == 0, F.concat(F.lit("Rs. "), cents, F.lit(".50 debited from A/c XX1234 via UPI")))
+        .when(k % 4 == 1, F.concat(F.lit("see hxxps://bad["), F.lit(".]top/"), k.cast("string"), F.lit(" or mail Help"), k.cast("string"), F.lit("@Shop.Example.org")))
+        .when(k % 4 == 2, F.concat(F.lit("send "), cents, F.lit(" rupees and $5 to pay"), k.cast("string"), F.lit("@okaxis")))
+        .otherwise(F.concat(F.lit("order "), k.cast("string")))
+    )
 
 
-def issues_numbered(spark, sf_dir):
-    """A union of three checks, ranked and numbered within each case."""
-    e = _case(spark, sf_dir)
-    high = e.filter("stage = 3 AND value > 80").select("case_id", F.lit("large_payment").alias("issue_type"), F.lit(3).alias("rank"), "event_id")
-    mid = e.filter("stage = 1").select("case_id", F.lit("contact").alias("issue_type"), F.lit(2).alias("rank"), "event_id")
-    low = e.filter("event_type = 'signup'").select("case_id", F.lit("signup").alias("issue_type"), F.lit(1).alias("rank"), "event_id")
-    n = F.row_number().over(W.partitionBy("case_id").orderBy(F.desc("rank"), "event_id"))
-    return high.unionByName(mid).unionByName(low).select("case_id", "event_id", "issue_type", F.format_string("ISSUE-%03d", n).alias("issue_id"))
+def made_entities(spark, sf_dir):
+    """What is found in the made texts, and what ingestion takes them for."""
+    t = _table(spark, sf_dir, "orders").select("o_orderkey", tx.refang(_made_alert()).alias("t"))
+    words = F.size(F.array_distinct(F.transform(F.regexp_extract_all("t", F.lit(KEYWORDS), F.lit(1)), F.lower)))
+    alert = once(F.col("t"), looks_like_alert)
+    return t.select("o_orderkey", F.array_join(F.transform(tx.amounts(F.col("t")), lambda a: F.concat_ws(" ", a["currency"], F.format_number(a["value"], 2))), ";").alias("amounts"), F.array_join(tx.urls(F.col("t")), ";").alias("urls"), F.array_join(tx.emails(F.col("t")), ";").alias("emails"), F.array_join(tx.upi_ids(F.col("t")), ";").alias("upi_ids"), words.alias("words"), alert.alias("alert"))
 
 
 def store_upsert(spark, sf_dir):
@@ -208,10 +134,8 @@ def store_upsert(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    url_normalize, url_reputation, url_verdict_counts, url_signals, url_listed, doc_entity_counts, doc_email_list, doc_types, luhn_cards, doc_hash_dedupe, doc_redacted,
-    conversation_participants, conversation_message_stats, conversation_issues, case_timeline, case_follow_ups, case_follow_debits, loss_by_case, first_contact_loss, attack_chain,
-    reference_groups, unique_payments, name_conflicts, cross_references, issues_numbered, store_upsert,
-)}
+    url_normalize, url_reputation, url_verdict_counts, url_signals, url_listed, url_made_signals, doc_entity_counts, doc_email_list, doc_types, luhn_cards, doc_hash_dedupe, doc_redacted, made_entities, store_upsert,
+)} | cases.QUERIES
 
 
 def _array(values) -> str:
@@ -254,13 +178,11 @@ WITH split AS (
   SELECT *, CASE WHEN score >= {ur.MALICIOUS} THEN 'malicious' WHEN score >= {ur.SUSPICIOUS} THEN 'suspicious' ELSE 'benign' END AS verdict FROM scored
 )
 """
-_CASE_SQL = "WITH e AS (SELECT user_id AS case_id, event_id, ts, event_type, value, CASE event_type WHEN 'error' THEN 1 WHEN 'purchase' THEN 3 ELSE 0 END AS stage FROM events)"
 _AMOUNT_SQL = r"(?i)(?:₹|rs\.?|inr|\$|usd|€|eur)\s*(?:\d{1,3}(?:,\d{2,3})+(?:\.\d{1,2})?|\d+(?:\.\d{1,2})?)|(?:\d{1,3}(?:,\d{2,3})+(?:\.\d{1,2})?|\d+(?:\.\d{1,2})?)\s*(?:rs\.?|inr|rupees|usd|dollars)\b"
 _EMAIL_SQL = r"(?i)[\p{L}\p{N}_][\p{L}\p{N}_.+-]*@[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}"
-_HUMAN_SQL = """CASE WHEN s IS NULL THEN NULL WHEN s < 60 THEN CAST(s AS VARCHAR) || 's' ELSE trim(concat(
-  CASE WHEN s // 86400 > 0 THEN CAST(s // 86400 AS VARCHAR) || 'd ' ELSE '' END,
-  CASE WHEN s % 86400 // 3600 > 0 THEN CAST(s % 86400 // 3600 AS VARCHAR) || 'h ' ELSE '' END,
-  CASE WHEN s % 3600 // 60 > 0 THEN CAST(s % 3600 // 60 AS VARCHAR) || 'm' ELSE '' END)) END"""
+_MADE_URL_SQL = f"""(SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'http://sbi-login' || page_id || '.top/verify' WHEN 1 THEN 'http://a.b.c.d.x' || page_id || '99999.xyz/account' WHEN 2 THEN 'https://my-free-prize-win' || page_id || '.click/otp?x=' || repeat('a', 100)
+  WHEN 3 THEN 'http://www.{LEGITIMATE}/login' WHEN 4 THEN 'https://paytm.kyc-update.example' || page_id || '.com/' ELSE url END AS url FROM pages)"""
+_CENTS = "format('{:,}', o_orderkey * 137 % 900000 + 100)"
 
 ORACLES = {
     "url_normalize": _URL_SQL + "SELECT page_id, canonical, scheme, host, array_to_string(labels[-2:], '.') AS registered_domain, labels[-1] AS tld, CAST(greatest(len(labels) - 2, 0) AS INTEGER) AS subdomain_depth, path, is_ip AS is_ip_host, scheme = 'https' AS uses_https, CAST(len(list_distinct(list_transform(q, lambda p: string_split(p, '=')[1]))) AS INTEGER) AS n_params FROM norm",
@@ -279,18 +201,9 @@ ORACLES = {
     "luhn_cards": r"""WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b([0-9]{16})\b', 1)) AS digits FROM documents)
       SELECT doc_id, digits, list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 1 THEN CAST(digits[i] AS INTEGER) * 2 - CASE WHEN CAST(digits[i] AS INTEGER) > 4 THEN 9 ELSE 0 END ELSE CAST(digits[i] AS INTEGER) END)) % 10 = 0 AS valid FROM c""",
     "doc_hash_dedupe": "SELECT sha256(text) AS content_hash, min(doc_id) AS first_doc, count(*) AS copies FROM documents GROUP BY 1",
-    "conversation_participants": "WITH r AS (SELECT conv_id, role, min(turn) AS first_turn, count(*) AS n FROM conversations GROUP BY conv_id, role), k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY first_turn, role) AS k FROM r) SELECT conv_id, max(CASE WHEN k = 1 THEN role END) AS first, max(CASE WHEN k = 2 THEN role END) AS second, CAST(sum(n) AS BIGINT) AS turns FROM k GROUP BY conv_id",
-    "conversation_message_stats": "SELECT conv_id, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS BIGINT) AS lines FROM conversations GROUP BY conv_id",
-    "case_timeline": _CASE_SQL + f", o AS (SELECT *, CAST(row_number() OVER w AS INTEGER) AS sequence, lag(ts) OVER w AS before FROM e WINDOW w AS (PARTITION BY case_id ORDER BY ts, stage, event_id)), g AS (SELECT case_id, event_id, sequence, epoch_us(ts) // 1000000 - epoch_us(before) // 1000000 AS s FROM o) SELECT case_id, event_id, sequence, {_HUMAN_SQL} AS since_previous FROM g",
-    "case_follow_ups": _CASE_SQL + ", o AS (SELECT *, coalesce(bool_or(stage = 3) OVER (PARTITION BY case_id ORDER BY ts, stage, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS paid FROM e) SELECT case_id, count(*) AS follow_ups FROM o WHERE paid AND stage = 1 GROUP BY case_id",
-    "case_follow_debits": _CASE_SQL + " SELECT case_id, event_id, value FROM e p WHERE stage = 3 AND EXISTS (SELECT 1 FROM e c WHERE c.case_id = p.case_id AND c.stage = 1 AND c.ts <= p.ts)",
-    "loss_by_case": _CASE_SQL + " SELECT case_id, CAST(round(sum(CAST(value AS DECIMAL(18, 4))), 2) AS DOUBLE) AS loss, count(*) AS payments FROM e WHERE stage = 3 GROUP BY case_id",
-    "first_contact_loss": _CASE_SQL + ", f AS (SELECT case_id, min(CASE WHEN stage = 1 THEN ts END) AS c, min(CASE WHEN stage = 3 THEN ts END) AS l FROM e GROUP BY case_id) SELECT case_id, epoch_us(c) AS contact_us, epoch_us(l) AS loss_us, CASE WHEN l >= c THEN (epoch_us(l) - epoch_us(c)) // 1000000 END AS seconds_to_loss FROM f",
-    "attack_chain": _CASE_SQL + ", o AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY ts, stage, event_id) AS k FROM e), f AS (SELECT case_id, event_type, min(k) AS k FROM o GROUP BY case_id, event_type) SELECT case_id, string_agg(event_type, ' → ' ORDER BY k) AS chain FROM f GROUP BY case_id",
-    "reference_groups": "SELECT l_orderkey, count(*) AS n, count(DISTINCT l_returnflag) AS flags, count(DISTINCT l_linestatus) AS statuses, round(max(l_extendedprice) - min(l_extendedprice), 2) AS amount_spread, CAST(date_diff('day', min(l_shipdate), max(l_shipdate)) AS INTEGER) AS day_spread FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 2",
-    "unique_payments": "WITH o AS (SELECT *, CASE WHEN o_orderpriority <> '5-LOW' THEN CAST(o_custkey AS VARCHAR) || '/' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS ref FROM orders), k AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, coalesce(ref, CAST(o_orderkey AS VARCHAR)) ORDER BY o_orderkey) AS k FROM o) SELECT o_custkey, count(*) AS payments, CAST(round(sum(CAST(o_totalprice AS DECIMAL(18, 2))), 2) AS DOUBLE) AS loss FROM k WHERE k = 1 GROUP BY o_custkey",
-    "name_conflicts": "SELECT lower(n_name) AS name, count(DISTINCT c_mktsegment) AS identifiers, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS shown, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY lower(n_name) HAVING count(DISTINCT c_mktsegment) >= 2",
-    "cross_references": "SELECT d.doc_id, d.lang, coalesce(l.n, 0) AS labels, l.toxic FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n, max(toxic) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id)",
-    "issues_numbered": _CASE_SQL + ", i AS (SELECT case_id, 'large_payment' AS issue_type, 3 AS rank, event_id FROM e WHERE stage = 3 AND value > 80 UNION ALL SELECT case_id, 'contact', 2, event_id FROM e WHERE stage = 1 UNION ALL SELECT case_id, 'signup', 1, event_id FROM e WHERE event_type = 'signup') SELECT case_id, event_id, issue_type, printf('ISSUE-%03d', row_number() OVER (PARTITION BY case_id ORDER BY rank DESC, event_id)) AS issue_id FROM i",
+    "url_made_signals": _URL_SQL.replace("FROM pages", f"FROM {_MADE_URL_SQL}") + "SELECT page_id, score, verdict, array_to_string(list_transform(found, lambda s: s.name), ',') AS signals FROM judged",
+    "doc_redacted": r"SELECT doc_id, regexp_replace(text, '(?i)[\p{L}\p{N}_.+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}\b', '[REDACTED]', 'g') AS text FROM documents",
+    "made_entities": f"""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'INR ' || {_CENTS} || '.50' WHEN 2 THEN 'INR ' || {_CENTS} || '.00;USD 5.00' ELSE '' END AS amounts, CASE WHEN o_orderkey % 4 = 1 THEN 'https://bad.top/' || o_orderkey ELSE '' END AS urls,
+      CASE WHEN o_orderkey % 4 = 1 THEN 'help' || o_orderkey || '@shop.example.org' ELSE '' END AS emails, CASE WHEN o_orderkey % 4 = 2 THEN 'pay' || o_orderkey || '@okaxis' ELSE '' END AS upi_ids, CASE o_orderkey % 4 WHEN 0 THEN 3 ELSE 0 END AS words, o_orderkey % 4 = 0 AS alert FROM orders""",
     "store_upsert": "WITH b AS (SELECT user_id AS case_id, event_type AS k, CAST(event_id AS INTEGER) AS o, value, event_id % 2 AS g FROM events), m AS (SELECT *, max(CASE WHEN g = 0 THEN o END) OVER (PARTITION BY case_id) AS last_old FROM b), p AS (SELECT *, CASE WHEN g = 0 THEN o ELSE coalesce(last_old, -1) + 1 + o END AS place FROM m), r AS (SELECT *, row_number() OVER (PARTITION BY case_id, k ORDER BY g DESC, o DESC) AS n, min(place) OVER (PARTITION BY case_id, k) AS first_place FROM p) SELECT case_id, count(*) AS records, CAST(round(sum(CAST(value AS DECIMAL(18, 4))), 2) AS DOUBLE) AS value, CAST(min(first_place) AS INTEGER) AS first_place FROM r WHERE n = 1 GROUP BY case_id",
-}
+} | cases.ORACLES

@@ -50,8 +50,10 @@ def read_files(spark: SparkSession, path: str, case_id: str = "case", forced_typ
     extension = F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))
     odd = ~extension.isin(TEXT_EXTENSIONS) & image_type(F.col("content")).isNull()
     meta = F.map_concat(F.create_map(F.lit("filename"), name, F.lit("size_bytes"), F.col("length").cast("string")), F.when(odd, F.create_map(F.lit("unrecognized_extension"), F.concat(F.lit("."), extension))).otherwise(F.create_map().cast("map<string,string>")))
-    # a stable number without a global sort
-    order = F.pmod(F.xxhash64("path"), F.lit(1 << 31)).cast("int")
+    # numbered in the order of their paths: only paths are sorted, contents aren't read for it
+    numbers = files.select(F.col("path").alias("of_path")).select("of_path", (F.row_number().over(W.orderBy("of_path")) - 1).alias("file_ord"))
+    files = files.join(numbers, F.col("path") == F.col("of_path"))
+    order = F.col("file_ord").cast("int")
     null = F.lit(None).cast("string")
     return files.select(F.lit(case_id).alias("case_id"), order.alias("rec_ord"), F.concat(F.lit("file:"), F.regexp_replace("path", "^file:/*", "/")).alias("source"), null.alias("text"), F.col("content").alias("bytes"), null.alias("json"), F.lit(forced_type).cast("string").alias("forced_type"), meta.alias("metadata"))
 

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the cluster sets it; a folder of its own only where it is unset, as in tests."""
+    """spark.checkpoint.dir as the cluster sets it; a folder of its own only where it is unset on a local master, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="siftline-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where

@@ -44,14 +44,11 @@ def update_cases(records: DataFrame, store: str, sink: Callable[[DataFrame, Data
                 if "PATH_NOT_FOUND" not in str(e):
                     raise
                 merged = upsert(batch.limit(0), batch)
-            merged = merged.select(*batch.columns).persist()
-            try:
-                merged.count()  # read before its partitions are replaced
-                merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("case_id").parquet(store)
-                events = settle(build_timeline(merged, zone)[0])
-                sink(events, check(events)[0])
-            finally:
-                merged.unpersist()
+            # on disk before the partitions it was read from are replaced: a lost executor can't lose it
+            merged = settle(merged.select(*batch.columns))
+            merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("case_id").parquet(store)
+            events = settle(build_timeline(merged, zone)[0])
+            sink(events, check(events)[0])
         finally:
             batch.unpersist()
 
