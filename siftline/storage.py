@@ -24,4 +24,13 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siftline-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def discard(*settled: DataFrame) -> None:
+    """Deletes the files of settled tables that nothing reads any more."""
+    for df in settled:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._settled_at)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
