@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftline.storage import discard, settle as cut, shared_dir  # noqa: F401
+
 #: Bytes of text that a Python operator takes at a time, unless a single text is longer.
 PIECE_BYTES = 1 << 20
 PIECE_ROWS = 4000
@@ -84,23 +84,6 @@ def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
     return map_arrow(df, run, schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir as the cluster sets it, else one for tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="siftline-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: later jobs, and tasks of lost executors, start from it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/siftline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have yet, for columns that an operator needs meanwhile."""
     taken = {c.lower() for c in df.columns}
@@ -120,15 +103,16 @@ def fits(df: DataFrame, most: int) -> bool:
     return df.limit(most + 1).count() <= most
 
 
-def sample_per_class(df: DataFrame, label: str, per_class: int, key: str, classes: int = 200, seed: int = 7) -> DataFrame:
+def sample_per_class(df: DataFrame, label: str, per_class: int, key: str, classes: int = 2000, seed: int = 7) -> DataFrame:
     """About per_class rows of each label, drawn by a hash of `key`: the bounded sample that a classifier is fitted on.
 
     Of more than `classes` labels, those with the most rows. The class counts are over all rows.
     """
     counts = df.filter(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(classes).collect()
     share = F.lit(0.0)
-    for row in counts:
-        share = F.when(F.col(label) == row[0], F.lit(min(1.0, per_class / row["count"]))).otherwise(share)
+    if counts:
+        table = F.create_map(*[F.lit(x) for row in counts for x in (row[0], min(1.0, per_class / row["count"]))])
+        share = F.coalesce(F.try_element_at(table, F.col(label)), F.lit(0.0))
     u = F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.lit(1 << 30)) / float(1 << 30)
     return df.filter(F.col(label).isNotNull() & (u < share))
 

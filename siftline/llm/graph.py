@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import cut
+from siftline.llm.common import cut, discard
 
 HUB = 1000
 MOST_HUBS = 50_000
@@ -45,7 +45,8 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: a and its smaller neighbours go to the smallest of them
         near = _with_least(large, most)
         small = near.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(near.select("a", F.col("m").alias("b"))).distinct()
-        now = cut(small)
+        old, now = now, cut(small)
+        discard(old)
         after = _state(now)
         if after == before:
             break

@@ -6,11 +6,13 @@ anything that isn't a letter counts as a blank. A Nystroem approximation over la
 ridge regression, one language against the rest, a small linear system.
 
 The kernel with the landmarks is a product of presence vectors, so landmarks and regression weights
-multiply into one table of n-grams by languages, which is exact algebra; a batch of texts is scored by the
-product of its presence matrix with that table, divided by the texts' norms.
+multiply into one table of n-grams by languages, which is exact algebra: it has every n-gram of the landmarks.
+A batch of texts is scored by the product of its presence matrix with that table, divided by the texts'
+norms, which count all their n-grams, also those that no landmark has.
 
-The model is fitted on a bounded sample: PER_LANGUAGE labelled texts of each language, of MAX_CHARS at
-most. It is a few hundred KB, whatever the corpus. Prediction reads whole texts and no other column.
+The model is fitted on a bounded sample: PER_LANGUAGE labelled texts of each language (of more than 2,000
+languages, those with the most rows), of MAX_CHARS at most; LANDMARKS of them, dealt over the languages, and
+one of each at least, are landmarks. Its size doesn't depend on the corpus. Prediction reads whole texts and no other column.
 
 Defined results: a null text and one without a letter are `und` with score 0; a text none of whose n-grams
 is known has the languages tied, which go by name; repeated rows repeat their results; an empty table
@@ -36,11 +38,12 @@ PER_LANGUAGE = 400
 LANDMARKS = 200
 MAX_CHARS = 100_000
 N = 3
-GRAMS = 1 << 14
 RIDGE = 1e-3
 #: Decision values lie between -1 and 1; this makes a softmax over them a usable confidence.
 SHARPNESS = 4.0
 _SLOT_BITS = 20
+#: Cells of a presence matrix.
+_CELLS = 1 << 26
 U = np.uint64
 
 
@@ -79,34 +82,59 @@ def grams(sym: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return key, ok & (key != (U(n) << U(60)))
 
 
+def _slot(keys: np.ndarray, level: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (keys * U(0x9E3779B97F4A7C15 + 2 * level)) >> U(64 - _SLOT_BITS)
+
+
 @dataclass
 class Model:
     languages: list[str]
-    keys: np.ndarray  #: of each slot, the n-gram there, 0 if none
-    ids: np.ndarray  #: its row in the table
+    levels: list[tuple[np.ndarray, np.ndarray]]  #: hash tables: of each slot the n-gram there (0 if none) and its row; what collides is in the next one
     table: np.ndarray  #: n-grams x languages
 
-    def presence(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Texts x n-grams, and whether each text has a letter."""
+    def rows_of(self, keys: np.ndarray) -> np.ndarray:
+        """The table's row of each n-gram, -1 if it has none."""
+        out = np.full(len(keys), -1, np.int64)
+        for level, (held, ids) in enumerate(self.levels):
+            left = np.flatnonzero(out < 0) if level else slice(None)
+            slot = _slot(keys[left], level)
+            out[left] = np.where(held[slot] == keys[left], ids[slot], -1)
+        return out
+
+    def sums(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text its n-grams' rows of the table summed, how many different n-grams it has, and whether it has a letter."""
         docs = len(off) - 1
-        found = np.zeros((docs, len(self.table)), bool)
         sym, starts = symbols(raw, off)
         letters = np.concatenate(([0], np.cumsum(sym != 0, dtype=np.int64)))
         doc = np.repeat(np.arange(docs), np.diff(starts))
+        found, strange = [], []
         for n in range(1, N + 1):
             key, ok = grams(sym, starts, n)
-            with np.errstate(over="ignore"):
-                slot = (key * U(0x9E3779B97F4A7C15)) >> U(64 - _SLOT_BITS)
-            hit = np.flatnonzero((self.keys[slot] == key) & ok)
-            found[doc[hit], self.ids[slot[hit]]] = True
-        return found, letters[starts[1:]] > letters[starts[:-1]]
+            row = self.rows_of(key)
+            at = np.flatnonzero((row >= 0) & ok)
+            found.append((doc[at], row[at]))
+            at = np.flatnonzero((row < 0) & ok)
+            strange.append((doc[at], key[at]))
+        total, size = np.zeros((docs, self.table.shape[1]), np.float32), np.zeros(docs, np.int64)
+        step = max(1, _CELLS // max(len(self.table), 1))
+        for a in range(0, docs, step):
+            part = np.zeros((min(step, docs - a), len(self.table)), bool)
+            for d, row in found:
+                i, j = np.searchsorted(d, [a, a + step])
+                part[d[i:j] - a, row[i:j]] = True
+            total[a : a + step], size[a : a + step] = part.astype(np.float32) @ self.table, part.sum(1)
+        d, key = (np.concatenate(x) for x in zip(*strange))
+        order = np.lexsort((key, d))
+        d, key = d[order], key[order]
+        new = np.concatenate(([True], (d[1:] != d[:-1]) | (key[1:] != key[:-1]))) if len(d) else np.zeros(0, bool)
+        return total, size + np.bincount(d[new], minlength=docs), letters[starts[1:]] > letters[starts[:-1]]
 
     def predict(self, raw: np.ndarray, off: np.ndarray) -> tuple[list[str], np.ndarray]:
         if not self.languages:
             return ["und"] * (len(off) - 1), np.zeros(len(off) - 1)
-        found, lettered = self.presence(raw, off)
-        norm = np.sqrt(np.maximum(found.sum(1), 1))[:, None]
-        f = (found.astype(np.float32) @ self.table) / norm
+        total, size, lettered = self.sums(raw, off)
+        f = total / np.sqrt(np.maximum(size, 1))[:, None]
         e = np.exp(SHARPNESS * (f - f.max(1, keepdims=True)))
         p = e / e.sum(1, keepdims=True)
         best = f.argmax(1)
@@ -119,38 +147,38 @@ def fit(texts: list[str], labels: list[str]) -> Model:
     rows = sorted(zip(labels, texts), key=lambda r: (r[0], mix(np.array([len(r[1])], U))[0], r[1]))
     languages = sorted({label for label, _ in rows})
     if not languages:
-        return Model([], np.zeros(1 << _SLOT_BITS, U), np.zeros(1 << _SLOT_BITS, np.int32), np.zeros((1, 0), np.float32))
+        return Model([], [], np.zeros((0, 0), np.float32))
     sets = []
     for _, t in rows:
         raw, off = flat(pa.array([t]))
         sym, starts = symbols(raw, off)
         sets.append(np.unique(np.concatenate([k[ok] for k, ok in (grams(sym, starts, n) for n in range(1, N + 1))])))
-    keys, df = np.unique(np.concatenate(sets), return_counts=True)
-    order = np.lexsort((keys, -df))[:GRAMS]
-    keys = keys[order]
-    with np.errstate(over="ignore"):
-        slot = (keys * U(0x9E3779B97F4A7C15)) >> U(64 - _SLOT_BITS)
-    _, first = np.unique(slot, return_index=True)  # of two in a slot, the more frequent stays
-    keys, slot = keys[np.sort(first)], slot[np.sort(first)]
-    by_key = np.argsort(keys)
-    x = np.zeros((len(rows), len(keys)), np.float32)
-    for i, s in enumerate(sets):
-        at = np.searchsorted(keys[by_key], s)
-        at = np.minimum(at, len(keys) - 1)
-        x[i, by_key[at[keys[by_key][at] == s]]] = 1
-    norm = np.sqrt(np.maximum(x.sum(1), 1))
-    x /= norm[:, None]
+    norm = np.sqrt(np.array([max(len(s), 1) for s in sets]))
     label = np.array([languages.index(r[0]) for r in rows])
     per = max(1, LANDMARKS // len(languages))
     marks = np.concatenate([np.flatnonzero(label == c)[:per] for c in range(len(languages))])
+    keys = np.unique(np.concatenate([sets[i] for i in marks]))
+    has = np.zeros((len(keys), len(marks)), np.float32)  # presence in the landmarks
+    for j, i in enumerate(marks):
+        has[np.searchsorted(keys, sets[i]), j] = 1
+    k_nm = np.zeros((len(rows), len(marks)))
+    for i, s in enumerate(sets):
+        at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+        k_nm[i] = has[at[keys[at] == s]].sum(0)
+    k_nm /= norm[:, None] * norm[marks]
     weight = 1.0 / np.bincount(label, minlength=len(languages))[label]  # languages count alike
-    k_nm, k_mm = (x @ x[marks].T).astype(np.float64), (x[marks] @ x[marks].T).astype(np.float64)
     y = np.where(label[:, None] == np.arange(len(languages)), 1.0, -1.0)
-    left = (k_nm * weight[:, None]).T @ k_nm + RIDGE * k_mm + 1e-8 * np.eye(len(marks))
+    left = (k_nm * weight[:, None]).T @ k_nm + RIDGE * k_nm[marks] + 1e-8 * np.eye(len(marks))
     alpha = np.linalg.solve(left, (k_nm * weight[:, None]).T @ y)
-    slots, ids = np.zeros(1 << _SLOT_BITS, U), np.zeros(1 << _SLOT_BITS, np.int32)
-    slots[slot], ids[slot] = keys, np.arange(len(keys))
-    return Model(languages, slots, ids, (x[marks].T @ alpha).astype(np.float32))
+    levels, rest = [], np.arange(len(keys))
+    while len(rest):
+        slot = _slot(keys[rest], len(levels))
+        taken, first = np.unique(slot, return_index=True)
+        held, ids = np.zeros(1 << _SLOT_BITS, U), np.zeros(1 << _SLOT_BITS, np.int32)
+        held[taken], ids[taken] = keys[rest[first]], rest[first]
+        levels.append((held, ids))
+        rest = np.delete(rest, first)
+    return Model(languages, levels, (has @ (alpha / norm[marks][:, None]).astype(np.float32)))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

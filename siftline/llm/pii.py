@@ -32,7 +32,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import cut, fits, fresh, row_key
+from siftline.llm.common import cut, discard, fits, fresh, row_key
 
 PRIOR = 6
 #: Rows of a table that is broadcast; larger ones are joined by a shuffle, with the same result.
@@ -265,6 +265,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: f
     reach = of.agg(F.max("reach")).first()[0] or 0.0
     counts = cut(term_counts(df, text_col))
     near = cut(occurrences(base, counts, total, reach))
+    discard(counts)
     who = base.select("row_key", F.explode("entities").alias("entity"))
     pairs = cut(disclosures(near.drop("places"), who, of, total, prior, generalise, remove))
     own = of.select("entity", "reach")
