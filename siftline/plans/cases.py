@@ -2,7 +2,7 @@
 
 A user is a case. Errors are messages that ask for money, signups bait without a sender, views harmless
 messages, clicks links, purchases payment records; some payments are told twice, and differ. What each says
-follows from its number, so that SQL can say what has to be found. Records, timeline and issues are settled
+follows from its number, so that SQL can say what has to be found. One user in ten has no payments. Records, timeline and issues are settled
 once for each session and folder, and used by all queries.
 """
 
@@ -34,8 +34,8 @@ _FIRST = f"""SELECT concat('u', user_id) AS case_id, CAST(k AS INT) AS rec_ord,
 FROM {{e}}"""
 _SECOND = f"""SELECT concat('u', user_id) AS case_id, CAST(10000000 + k AS INT) AS rec_ord, 'copies' AS source, CAST(NULL AS STRING) AS text, CAST(NULL AS BINARY) AS bytes,
   to_json(named_struct('txn_id', concat('TXN', lpad(CAST(k AS STRING), 8, '0')), 'amount', CAST(100 * (1 + k % 7) + CASE WHEN k % 3 = 1 THEN 50 ELSE 0 END AS STRING),
-    'to', CASE WHEN k % 2 = 0 THEN {_PAYEE} ELSE 'other@ybl' END, 'from', CASE WHEN k % 5 = 1 THEN 'me2@okaxis' ELSE 'me@okaxis' END,
-    'date', date_format(ts + CASE WHEN k % 4 = 0 THEN INTERVAL 2 HOURS ELSE INTERVAL 0 HOURS END, "yyyy-MM-dd'T'HH:mm:ss"), 'currency', CASE WHEN k % 10 = 3 THEN 'USD' END,
+    'to', CASE WHEN k % 2 = 0 THEN {_PAYEE} ELSE 'other@ybl' END, 'from', CASE WHEN k % 9 = 0 THEN concat('scam', user_id % 7, '@ybl') WHEN k % 5 = 1 THEN 'me2@okaxis' ELSE 'me@okaxis' END,
+    'date', date_format(ts + CASE WHEN k % 4 = 0 THEN INTERVAL 2 HOURS ELSE INTERVAL 0 HOURS END, "yyyy-MM-dd'T'HH:mm:ss"), 'currency', CASE WHEN k % 20 = 3 THEN 'EUR' END,
     'direction', CASE WHEN k % 9 = 0 THEN 'credit' END, 'status', CASE WHEN k % 8 = 0 THEN 'FAILED' ELSE 'SUCCESS' END)) AS json,
   'transaction' AS forced_type, CAST(map() AS MAP<STRING, STRING>) AS metadata
 FROM {{e}} WHERE event_type = 'purchase' AND k % 4 <> 1 AND k % 7 < 3"""
@@ -48,6 +48,7 @@ def _case_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _settled:
         e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumnRenamed("event_id", "k")
+        e = e.withColumn("event_type", F.when((F.col("user_id") % 10 == 9) & (F.col("event_type") == "purchase"), "view").otherwise(F.col("event_type")))
         raw = spark.sql(_FIRST, e=e).unionByName(spark.sql(_SECOND, e=e))
         records = settle(extract(settle(ingest(raw))))
         events, summary = (settle(df) for df in build_timeline(records))
@@ -106,7 +107,7 @@ _HUMAN = """CASE WHEN {s} IS NULL THEN NULL ELSE CASE WHEN {s} < 0 THEN '-' ELSE
   CASE WHEN abs({s}) % 86400 // 3600 > 0 THEN CAST(abs({s}) % 86400 // 3600 AS VARCHAR) || 'h ' ELSE '' END,
   CASE WHEN abs({s}) % 3600 // 60 > 0 THEN CAST(abs({s}) % 3600 // 60 AS VARCHAR) || 'm' ELSE '' END)) END END"""
 _SCAM_SQL = f"""
-WITH e AS (SELECT event_id AS k, user_id AS u, 'u' || user_id AS case_id, date_trunc('second', ts) AS t, event_type,
+WITH e AS (SELECT event_id AS k, user_id AS u, 'u' || user_id AS case_id, date_trunc('second', ts) AS t, CASE WHEN user_id % 10 = 9 AND event_type = 'purchase' THEN 'view' ELSE event_type END AS event_type,
     CASE event_id % 3 WHEN 0 THEN 'scam' || (user_id % 7) || '@ybl' WHEN 1 THEN 'shop' || (event_id % 13) || '@okaxis' END AS payee FROM events),
 items AS (
   SELECT case_id, k AS rec_ord, CASE event_type WHEN 'error' THEN 'ask' WHEN 'signup' THEN 'bait' WHEN 'view' THEN 'chat' WHEN 'purchase' THEN 'pay' WHEN 'click' THEN CASE WHEN k % 2 = 0 THEN 'bad' ELSE 'link' END END AS kind,
@@ -118,19 +119,19 @@ items AS (
     CASE WHEN event_type = 'error' THEN CAST(100 * (1 + k % 5) AS DOUBLE) END AS asked, CASE WHEN event_type = 'error' THEN 'scam' || (u % 7) || '@ybl' END AS named
   FROM e
   UNION ALL
-  SELECT case_id, 10000000 + k, 'pay', t + CASE WHEN k % 4 = 0 THEN INTERVAL 2 HOUR ELSE INTERVAL 0 HOUR END, false, CASE WHEN k % 2 = 0 THEN payee ELSE 'other@ybl' END, CASE WHEN k % 5 = 1 THEN 'me2@okaxis' ELSE 'me@okaxis' END,
-    CAST(100 * (1 + k % 7) + CASE WHEN k % 3 = 1 THEN 50 ELSE 0 END AS DOUBLE), CASE WHEN k % 10 = 3 THEN 'USD' END, CASE WHEN k % 9 = 0 THEN 'credit' ELSE 'debit' END, CASE WHEN k % 8 = 0 THEN 'failed' ELSE 'success' END,
+  SELECT case_id, 10000000 + k, 'pay', t + CASE WHEN k % 4 = 0 THEN INTERVAL 2 HOUR ELSE INTERVAL 0 HOUR END, false, CASE WHEN k % 2 = 0 THEN payee ELSE 'other@ybl' END, CASE WHEN k % 9 = 0 THEN 'scam' || (u % 7) || '@ybl' WHEN k % 5 = 1 THEN 'me2@okaxis' ELSE 'me@okaxis' END,
+    CAST(100 * (1 + k % 7) + CASE WHEN k % 3 = 1 THEN 50 ELSE 0 END AS DOUBLE), CASE WHEN k % 20 = 3 THEN 'EUR' END, CASE WHEN k % 9 = 0 THEN 'credit' ELSE 'debit' END, CASE WHEN k % 8 = 0 THEN 'failed' ELSE 'success' END,
     'TXN' || lpad(CAST(k AS VARCHAR), 8, '0'), NULL, NULL, NULL, NULL
   FROM e WHERE event_type = 'purchase' AND k % 4 <> 1 AND k % 7 < 3
 ), named AS (SELECT case_id, named, count(*) AS links FROM items WHERE kind = 'ask' GROUP BY case_id, named),
 contact AS (SELECT case_id, min(t) AS first_contact FROM items WHERE kind IN ('ask', 'bait', 'bad') GROUP BY case_id),
 linked AS (
-  SELECT i.*, CASE WHEN kind = 'pay' AND dir = 'debit' THEN coalesce(n.links, 0) ELSE 0 END AS links, kind = 'pay' AND dir = 'debit' AND n.links IS NULL AND coalesce(first_contact <= t, false) AS follows
-  FROM items i LEFT JOIN named n ON n.case_id = i.case_id AND n.named = i.payee LEFT JOIN contact c ON c.case_id = i.case_id
+  SELECT i.*, CASE WHEN kind = 'pay' THEN coalesce(n.links, 0) ELSE 0 END AS links, kind = 'pay' AND dir = 'debit' AND n.links IS NULL AND coalesce(first_contact <= t, false) AS follows
+  FROM items i LEFT JOIN named n ON n.case_id = i.case_id AND n.named = CASE dir WHEN 'debit' THEN i.payee ELSE i.payer END LEFT JOIN contact c ON c.case_id = i.case_id
 ), typed AS (
-  SELECT *, CASE kind WHEN 'ask' THEN 'contact' WHEN 'bait' THEN 'contact' WHEN 'chat' THEN 'communication' WHEN 'link' THEN 'communication' WHEN 'bad' THEN 'lure' ELSE CASE WHEN links > 0 THEN 'fraud' ELSE 'transaction' END END AS stage0,
+  SELECT *, CASE kind WHEN 'ask' THEN 'contact' WHEN 'bait' THEN 'contact' WHEN 'chat' THEN 'communication' WHEN 'link' THEN 'communication' WHEN 'bad' THEN 'lure' ELSE CASE WHEN links > 0 AND dir = 'debit' THEN 'fraud' ELSE 'transaction' END END AS stage0,
     CASE kind WHEN 'ask' THEN 'suspicious_message' WHEN 'bait' THEN 'suspicious_message' WHEN 'chat' THEN 'message' WHEN 'link' THEN 'url' WHEN 'bad' THEN 'malicious_url'
-      ELSE CASE WHEN links > 0 AND status = 'failed' THEN 'fraud_attempt' WHEN links > 0 THEN 'fraudulent_payment' WHEN status = 'failed' THEN 'failed_transaction' ELSE 'transaction' END END AS type0,
+      ELSE CASE WHEN links > 0 AND dir = 'credit' THEN 'scammer_credit' WHEN links > 0 AND status = 'failed' THEN 'fraud_attempt' WHEN links > 0 THEN 'fraudulent_payment' WHEN status = 'failed' THEN 'failed_transaction' ELSE 'transaction' END END AS type0,
     CASE WHEN t IS NULL THEN 'unknown' WHEN day_only THEN 'date' ELSE 'datetime' END AS prec,
     CASE WHEN day_only THEN t + INTERVAL 1 DAY - INTERVAL 1 MICROSECOND ELSE t END AS sort_at,
     CASE WHEN amt IS NULL THEN 'an unknown amount' WHEN cur IS NULL THEN '₹' || format('{{:,.2f}}', amt) ELSE cur || ' ' || format('{{:,.2f}}', amt) END AS money
@@ -142,12 +143,12 @@ linked AS (
 ), f AS (
   SELECT *, CASE WHEN after AND type0 = 'suspicious_message' THEN 'follow_up_message' ELSE type0 END AS event_type, CASE WHEN after AND type0 = 'suspicious_message' THEN 'follow_up' ELSE stage0 END AS stage,
     CASE WHEN prec = 'datetime' THEN epoch_us(t) // 1000000 - epoch_us(before) // 1000000 END AS gap, CASE WHEN name IS NOT NULL AND ident IS NOT NULL THEN name || ' <' || ident || '>' ELSE coalesce(name, ident) END AS label, kind = 'pay' AS is_money,
-    CASE WHEN after AND type0 = 'suspicious_message' THEN 'high' WHEN follows THEN 'medium' ELSE CASE type0 WHEN 'message' THEN 'info' WHEN 'url' THEN 'info' WHEN 'transaction' THEN 'low' WHEN 'failed_transaction' THEN 'low' WHEN 'suspicious_message' THEN 'medium' WHEN 'malicious_url' THEN 'high' WHEN 'fraud_attempt' THEN 'high' ELSE 'critical' END END AS severity
+    CASE WHEN after AND type0 = 'suspicious_message' THEN 'high' WHEN follows THEN 'medium' ELSE CASE type0 WHEN 'message' THEN 'info' WHEN 'url' THEN 'info' WHEN 'transaction' THEN 'low' WHEN 'failed_transaction' THEN 'low' WHEN 'suspicious_message' THEN 'medium' WHEN 'scammer_credit' THEN 'medium' WHEN 'malicious_url' THEN 'high' WHEN 'fraud_attempt' THEN 'high' ELSE 'critical' END END AS severity
   FROM ranked
 ), titled AS (
   SELECT *, CASE kind WHEN 'ask' THEN CASE WHEN event_type = 'follow_up_message' THEN 'Follow-up' ELSE 'Suspicious' END || ' message from ' || label WHEN 'bait' THEN CASE WHEN event_type = 'follow_up_message' THEN 'Follow-up' ELSE 'Suspicious' END || ' message received' WHEN 'chat' THEN 'Message from Asha'
     WHEN 'bad' THEN 'Malicious URL: sbi-kyc.top' WHEN 'link' THEN 'URL: example.com'
-    ELSE CASE event_type WHEN 'fraud_attempt' THEN 'Fraud attempt: ' WHEN 'fraudulent_payment' THEN 'Fraudulent payment: ' ELSE '' END || CASE dir WHEN 'credit' THEN 'Credit of ' || money || ' from ' || payer ELSE 'Debit of ' || money || coalesce(' to ' || payee, '') END END AS title
+    ELSE CASE event_type WHEN 'fraud_attempt' THEN 'Fraud attempt: ' WHEN 'fraudulent_payment' THEN 'Fraudulent payment: ' ELSE '' END || CASE dir WHEN 'credit' THEN 'Credit of ' || money || ' from ' || payer ELSE 'Debit of ' || money || coalesce(' to ' || payee, '') END || CASE event_type WHEN 'scammer_credit' THEN ' (suspect account)' ELSE '' END END AS title
   FROM f
 ), refs AS (
   SELECT case_id, txn, list(sequence ORDER BY sequence) AS events, count(DISTINCT amt) AS amounts, count(DISTINCT cur) AS curs, count(DISTINCT dir) AS dirs, count(DISTINCT payee) AS payees, count(DISTINCT payer) AS payers, count(DISTINCT status) AS statuses,
@@ -156,7 +157,7 @@ linked AS (
 ), conflicts AS (
   SELECT case_id, txn, events, paid, unnest([CASE WHEN amounts > 1 THEN ['amount_mismatch', 'high'] END, CASE WHEN curs > 1 THEN ['currency_mismatch', 'medium'] END, CASE WHEN dirs > 1 THEN ['direction_mismatch', 'high'] END, CASE WHEN payees > 1 THEN ['payee_mismatch', 'high'] END,
     CASE WHEN payers > 1 THEN ['payer_mismatch', 'medium'] END, CASE WHEN statuses > 1 THEN ['status_mismatch', 'high'] END, CASE WHEN days > 1 OR coalesce(spread > INTERVAL 1 HOUR, false) THEN ['timestamp_mismatch', 'medium'] END]) AS c FROM refs
-), asks AS (SELECT p.case_id, p.sequence, p.amt, p.t, p.prec, a.sequence AS seen, a.asked, a.t AS at_t, p.cur FROM f p JOIN f a ON a.case_id = p.case_id AND a.named = p.payee WHERE p.links > 0),
+), asks AS (SELECT p.case_id, p.sequence, p.amt, p.t, p.prec, a.sequence AS seen, a.asked, a.t AS at_t, p.cur FROM f p JOIN f a ON a.case_id = p.case_id AND a.named = p.payee WHERE p.links > 0 AND p.dir = 'debit'),
 found AS (
   SELECT case_id, 'gap' AS category, 'missing_timestamp' AS issue_type, CASE WHEN is_money THEN 'high' ELSE 'medium' END AS severity, [sequence] AS events, sequence AS emit FROM f WHERE t IS NULL
   UNION ALL SELECT case_id, 'gap', 'date_only_timestamp', 'low', [sequence], sequence FROM f WHERE is_money AND prec = 'date'
@@ -174,11 +175,11 @@ found AS (
   UNION ALL SELECT case_id, 'contradiction', 'payment_before_contact', 'medium', list_sort(list_append(list(seen), sequence)), sequence FROM asks WHERE t IS NOT NULL AND at_t IS NOT NULL GROUP BY case_id, sequence HAVING bool_and(CASE prec WHEN 'datetime' THEN t < at_t ELSE CAST(t AS DATE) < CAST(at_t AS DATE) END)
 ), issues AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY case_id ORDER BY list_position(['high', 'medium', 'low'], severity), list_position(['contradiction', 'gap', 'duplicate'], category), coalesce(events[1], 0), issue_type, emit) AS INTEGER) AS n FROM found
-), tried AS (SELECT * FROM titled WHERE event_type IN ('suspicious_message', 'malicious_url', 'fraud_attempt', 'fraudulent_payment', 'follow_up_message')),
+), tried AS (SELECT * FROM titled WHERE event_type IN ('suspicious_message', 'malicious_url', 'fraud_attempt', 'fraudulent_payment', 'follow_up_message', 'scammer_credit')),
 once AS (SELECT *, row_number() OVER (PARTITION BY case_id, coalesce(txn, CAST(sequence AS VARCHAR)) ORDER BY sequence) AS nth FROM f WHERE event_type = 'fraudulent_payment')
 """
-_CONTACTED = "CASE event_type WHEN 'malicious_url' THEN '{0}' WHEN 'fraud_attempt' THEN '{1}' WHEN 'fraudulent_payment' THEN '{2}' WHEN 'follow_up_message' THEN '{3}' ELSE '{4}' END"
-_LABEL = "CASE event_type WHEN 'suspicious_message' THEN 'suspicious message' WHEN 'follow_up_message' THEN 'follow-up message' WHEN 'malicious_url' THEN 'malicious URL' WHEN 'transaction' THEN 'transaction' WHEN 'failed_transaction' THEN 'failed transaction' WHEN 'fraudulent_payment' THEN 'fraudulent payment' WHEN 'fraud_attempt' THEN 'fraud attempt' END"
+_CONTACTED = "CASE event_type WHEN 'malicious_url' THEN '{0}' WHEN 'fraud_attempt' THEN '{1}' WHEN 'fraudulent_payment' THEN '{2}' WHEN 'follow_up_message' THEN '{3}' WHEN 'scammer_credit' THEN '{5}' ELSE '{4}' END"
+_LABEL = "CASE event_type WHEN 'suspicious_message' THEN 'suspicious message' WHEN 'follow_up_message' THEN 'follow-up message' WHEN 'malicious_url' THEN 'malicious URL' WHEN 'transaction' THEN 'transaction' WHEN 'failed_transaction' THEN 'failed transaction' WHEN 'fraudulent_payment' THEN 'fraudulent payment' WHEN 'fraud_attempt' THEN 'fraud attempt' WHEN 'scammer_credit' THEN 'credit from suspect' END"
 
 ORACLES = {
     "scam_timeline": _SCAM_SQL + "SELECT case_id, sequence, event_type, stage, severity, prec AS time_precision, " + _HUMAN.format(s="gap") + " AS since_previous, title, CAST(links AS INTEGER) AS links, CASE kind WHEN 'ask' THEN 'credential_request,payment_request' WHEN 'bait' THEN 'urgency,reward_bait' ELSE '' END AS indicators FROM titled",
@@ -193,7 +194,7 @@ ORACLES = {
     SELECT case_id, evidence_count, event_count, undated_event_count, {_HUMAN.format(s='d')} AS duration, attack_chain, stages, fraudulent_payment_count, inr, usd, {_HUMAN.format(s='l')} AS time_to_first_loss, suspects, highest_severity FROM g LEFT JOIN c USING (case_id)""",
     "scam_issues": _SCAM_SQL + "SELECT case_id, printf('ISSUE-%03d', n) AS issue_id, category, issue_type, severity, array_to_string(events, ',') AS events, CAST(len(events) AS INTEGER) AS evidence FROM issues",
     "scam_issue_counts": _SCAM_SQL + "SELECT e.case_id, e.n AS events_checked, count(i.n) AS issue_count, arg_min(i.severity, i.n) AS highest_severity, " + ", ".join(f"count(*) FILTER (category = '{c}') AS {c}" for c in ("contradiction", "gap", "duplicate")) + ", " + ", ".join(f"count(*) FILTER (severity = '{c}') AS {c}" for c in ("high", "medium", "low")) + " FROM (SELECT case_id, count(*) AS n FROM f GROUP BY case_id) e LEFT JOIN issues i USING (case_id) GROUP BY ALL",
-    "scam_attempts": _SCAM_SQL + "SELECT case_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY sequence) AS INTEGER) AS entry, sequence, event_type, " + _CONTACTED.format("Phishing link sent", "Payment to suspect attempted", "Payment to suspect", "Follow-up demand after loss", "Scam contact") + " AS action, " + _CONTACTED.format("link sent", "failed", "money lost", "contacted", "contacted") + " AS outcome, CASE WHEN kind = 'bad' THEN 'URL' END AS channel, CASE WHEN kind = 'pay' THEN payee ELSE label END AS counterparty, amt AS amount, coalesce(cur, CASE WHEN amt IS NOT NULL THEN 'INR' END) AS currency, txn AS transaction_id FROM tried",
+    "scam_attempts": _SCAM_SQL + "SELECT case_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY sequence) AS INTEGER) AS entry, sequence, event_type, " + _CONTACTED.format("Phishing link sent", "Payment to suspect attempted", "Payment to suspect", "Follow-up demand after loss", "Scam contact", "Credit from suspect account") + " AS action, " + _CONTACTED.format("link sent", "failed", "money lost", "contacted", "contacted", "received") + " AS outcome, CASE WHEN kind = 'bad' THEN 'URL' END AS channel, CASE WHEN kind = 'pay' THEN CASE dir WHEN 'debit' THEN payee ELSE payer END ELSE label END AS counterparty, amt AS amount, coalesce(cur, CASE WHEN amt IS NOT NULL THEN 'INR' END) AS currency, txn AS transaction_id FROM tried",
     "scam_losses": _SCAM_SQL + "SELECT case_id, count(*) AS payment_count, round(sum(amt) FILTER (cur IS NULL), 2) AS inr, round(sum(amt) FILTER (cur = 'USD'), 2) AS usd FROM once WHERE nth = 1 GROUP BY case_id",
     "scam_evidence": _SCAM_SQL + ", hits AS (SELECT case_id, printf('ISSUE-%03d', n) AS issue_id, n, unnest(events) AS sequence FROM issues), fl AS (SELECT case_id, sequence, string_agg(issue_id, ',' ORDER BY n) AS flags FROM hits GROUP BY case_id, sequence) SELECT f.case_id, CAST(rec_ord AS INTEGER) AS rec_ord, CASE kind WHEN 'pay' THEN 'transaction' WHEN 'bad' THEN 'url' WHEN 'link' THEN 'url' ELSE 'message' END AS evidence_type, CAST(f.sequence AS VARCHAR) AS events, coalesce(flags, '') AS flags FROM f LEFT JOIN fl ON fl.case_id = f.case_id AND fl.sequence = f.sequence",
     "scam_assessment": _SCAM_SQL + """, p AS (SELECT case_id, count(*) AS n FROM once WHERE nth = 1 GROUP BY case_id), i AS (SELECT case_id, count(*) AS n, count(*) FILTER (severity = 'high') AS high FROM issues GROUP BY case_id)
