@@ -25,6 +25,8 @@ def _state(edges: DataFrame) -> tuple:
 def _with_least(edges: DataFrame, most: int) -> DataFrame:
     """edges (a, b) with m, the smallest b of each a; an a with more than `most` rows is a hub."""
     low = edges.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("d"))
+    if not low.filter(F.col("d") > most).limit(1).count():
+        return edges.join(low.drop("d"), edges["a"] == F.col("u")).select("a", "b", "m")
     hubs = F.broadcast(low.filter(F.col("d") > most).select("u", "m"))
     of_hubs = edges.join(hubs, edges["a"] == hubs["u"]).select("a", "b", "m")
     rest = edges.join(hubs.select("u"), edges["a"] == hubs["u"], "left_anti")

@@ -380,10 +380,12 @@ def test_chance_of_loss():
     assert neardup.chance_of_loss() < 2e-6
 
 
-def test_components(spark):
-    edges = [(i, i + 1) for i in range(50)] + [(100, 200), (200, 100), (300, 300), (7, 3)]
+@pytest.mark.parametrize("hub", [3, 1000])
+def test_components(spark, monkeypatch, hub):
+    monkeypatch.setattr(graph, "HUB", hub)
+    edges = [(i, i + 1) for i in range(50)] + [(40, 400 + i) for i in range(30)] + [(100, 200), (200, 100), (300, 300), (7, 3)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert {got[i] for i in range(51)} == {0} and got[200] == got[100] == 100 and 300 not in got
+    assert {got[i] for i in (*range(51), *range(400, 430))} == {0} and got[200] == got[100] == 100 and 300 not in got
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
