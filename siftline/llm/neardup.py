@@ -10,7 +10,8 @@
    texts share.
 4. Merging skips what isn't in the prefix: within a posting list the rest of the collisions is counted from
    the signatures. A long list is dealt in blocks, and each pair of blocks meets in one task; of the pairs that
-   reach MATCHES a task returns a spanning forest only. Their components are candidate families.
+   reach MATCHES a task returns a spanning forest only, less what a block's own task returns. Their components
+   are candidate families.
 5. Links are confirmed on full sets within families, again in pairs of blocks and returned as a spanning
    forest; texts already linked in a block aren't compared again, nor those that agree on fewer than half of
    MATCHES coordinates (two sets at the threshold do with a chance below 1e-15). Components of confirmed links are the result.
@@ -73,22 +74,29 @@ def _digests(sets: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         return sums[0].view(np.int64), sums[1].view(np.int64)
 
 
-class _Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
+def _links(n: int, block: np.ndarray, across: bool, partners, same=None, step: int = 64) -> list[tuple[int, int]]:
+    """Pairs of rows that join components not joined before; across: of the two blocks, once each is joined within itself.
 
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.find(x), self.find(y)
-        if x == y:
-            return False
-        self.up[max(x, y)] = min(x, y)
-        return True
+    partners(i, rows) are those of rows that may be linked with row i, and same(i, rows) those that are. Rows that
+    already share a component aren't compared, so a group of copies costs and returns little more than its rows,
+    and two blocks of such a group return one pair, as what joins their own rows is returned where a block meets itself.
+    """
+    label, pairs = np.arange(n), []
+    for cross in (False, True) if across else (False,):
+        for i in range(n - 1):
+            at = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+            at = at[(block[at] != block[i]) == cross]
+            if len(at):
+                at = partners(i, at)
+            while len(at):
+                now, at = (at, at[:0]) if same is None else (at[:step], at[step:])
+                for j in (now if same is None else same(i, now)).tolist():
+                    if label[j] != label[i]:
+                        label[label == label[j]] = label[i]
+                        if cross == across:
+                            pairs.append((i, j))
+                at = at[label[at] != label[i]]
+    return pairs
 
 
 def _grouped(batches, keys: list[str]):
@@ -122,14 +130,9 @@ def _sigs(table: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, COORDS)
 
 
-def _partners(i: int, sig: np.ndarray, n: np.ndarray, block: np.ndarray, across: bool, matches: int, percent: int) -> np.ndarray:
-    """Later rows that may be linked with row i by their sizes and signatures; across: only those of the other block."""
-    rest = slice(i + 1, None)
-    small, large = np.minimum(n[i], n[rest]), np.maximum(n[i], n[rest])
-    ok = 100 * small >= percent * large
-    if across:
-        ok &= block[rest] != block[i]
-    at = np.flatnonzero(ok) + i + 1
+def _partners(i: int, at: np.ndarray, sig: np.ndarray, n: np.ndarray, matches: int, percent: int) -> np.ndarray:
+    """Those of the rows `at` that may be linked with row i by their sizes and signatures."""
+    at = at[100 * np.minimum(n[i], n[at]) >= percent * np.maximum(n[i], n[at])]
     return at[(sig[at] == sig[i]).sum(1) >= matches] if len(at) else at
 
 
@@ -213,11 +216,8 @@ def _families(classes: DataFrame, matches: int, percent: int) -> DataFrame:
             if t.num_rows < 2:
                 continue
             node, n, block, sig = *_rows(t, ["node", "n_shingles", "own_block"]), _sigs(t)
-            across, forest = t.column("bi")[0] != t.column("bj")[0], _Forest(t.num_rows)
-            edges = []
-            for i in range(t.num_rows - 1):
-                edges += [(node[i], node[j]) for j in _partners(i, sig, n, block, across, matches, percent).tolist() if forest.join(i, j)]
-            yield edges
+            across = t.column("bi")[0] != t.column("bj")[0]
+            yield [(node[i], node[j]) for i, j in _links(t.num_rows, block, across, lambda i, at: _partners(i, at, sig, n, matches, percent))]
 
     return components(map_arrow(rows, lambda batches: _flush(forests(batches)), _EDGE))
 
@@ -245,20 +245,16 @@ def _confirmed(df: DataFrame, classes: DataFrame, families: DataFrame, id_col: s
             if t.num_rows < 2:
                 continue
             node, n, block, sig = *_rows(t, ["node", "n_shingles", "own_block"]), _sigs(t)
-            across, forest, edges = t.column("bi")[0] != t.column("bj")[0], _Forest(t.num_rows), []
+            across = t.column("bi")[0] != t.column("bj")[0]
             sets = [np.frombuffer(s, b.U) for s in t.column("shingles").to_pylist()]
-            for i in range(t.num_rows - 1):
-                at = _partners(i, sig, n, block, across, matches // 2, percent).tolist()
-                at = [j for j in at if forest.find(i) != forest.find(j)]
-                for a in range(0, len(at), 64):
-                    part = at[a : a + 64]
-                    other = np.concatenate([sets[j] for j in part])
-                    place = np.minimum(np.searchsorted(sets[i], other), len(sets[i]) - 1)
-                    both = np.add.reduceat((sets[i][place] == other).astype(np.int64), np.cumsum([0] + [len(sets[j]) for j in part[:-1]]))
-                    for j, common in zip(part, both.tolist()):
-                        if 100 * common >= percent * (n[i] + n[j] - common) and forest.join(i, j):
-                            edges.append((node[i], node[j]))
-            yield edges
+
+            def same(i: int, at: np.ndarray) -> np.ndarray:
+                other = np.concatenate([sets[j] for j in at])
+                place = np.minimum(np.searchsorted(sets[i], other), len(sets[i]) - 1)
+                both = np.add.reduceat((sets[i][place] == other).astype(np.int64), np.cumsum([0] + [len(sets[j]) for j in at[:-1]]))
+                return at[100 * both >= percent * (n[i] + n[at] - both)]
+
+            yield [(node[i], node[j]) for i, j in _links(t.num_rows, block, across, lambda i, at: _partners(i, at, sig, n, matches // 2, percent), same)]
 
     return map_arrow(rows, lambda batches: _flush(check(batches)), _EDGE)
 

@@ -376,6 +376,35 @@ def test_near_duplicates_keep_one(spark):
     assert neardup.judge(docs(spark, [])).count() == 0 and neardup.keep_first(docs(spark, [])).count() == 0
 
 
+
+def test_blocks_return_what_joins_their_components():
+    rng = np.random.default_rng(5)
+    for n, share in ((60, 0.01), (60, 0.05), (300, 0.9)):
+        near = np.triu(rng.random((n, n)) < share, 1)
+        near |= near.T
+        block = rng.integers(0, 4, n)
+        near_rows = lambda rows: lambda i, at: at[near[rows[i], rows[at]]]
+        pairs = []
+        for one in range(4):
+            for other in range(one, 4):
+                rows = np.flatnonzero((block == one) | (block == other))
+                across = one != other
+                found = neardup._links(len(rows), block[rows], across, near_rows(rows))
+                checked = neardup._links(len(rows), block[rows], across, lambda i, at: at, near_rows(rows), step=7)
+                for links in (found, checked):
+                    assert len(links) < len(rows) and all(near[rows[i], rows[j]] and (block[rows[i]] != block[rows[j]]) == across for i, j in links)
+                assert not across or share < 0.9 or len(found) == len(checked) == 1
+                pairs += [(rows[i], rows[j]) for i, j in found]
+
+        def roots(links):
+            root = np.arange(n)
+            for i, j in links:
+                root[root == root[j]] = root[i]
+            return {frozenset(np.flatnonzero(root == r).tolist()) for r in root}
+
+        assert roots(pairs) == roots(np.argwhere(near).tolist())
+
+
 def test_chance_of_loss():
     assert neardup.chance_of_loss() < 2e-6
 
