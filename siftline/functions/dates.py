@@ -47,7 +47,7 @@ TEXT_DATE = r"(?U)\b(\d{1,2}[-/]\d{1,2}[-/]\d{2,4}|\d{4}-\d{2}-\d{2}|\d{1,2}[- ]
 TEXT_DATETIME = r"(?U)\b(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2})?|\d{1,2}[-/]\d{1,2}[-/]\d{2,4}(?:,?\s+\d{1,2}:\d{2}(?::\d{2})?(?:\s?[AaPp][Mm])?)?|\d{1,2}[- ][A-Za-z]{3}[- ]\d{2,4})\b"
 
 DEFAULT_ZONE = "Asia/Kolkata"
-#: Times from these sources carry a time of day; elsewhere midnight means that only the date is known.
+#: Times from these sources carry a time of day; elsewhere midnight means that only the date is known, unless it was given.
 PRECISE_SOURCES = ["header", "chat_export", "metadata"]
 
 
@@ -99,18 +99,19 @@ def _chat_or_mail(col: Column) -> Column:
     return F.coalesce(once(text, lambda t: _by_formats(t, CHAT_FORMATS)), F.concat(_iso_text(mail), offset))
 
 
-def resolve(iso: Column, source: Column, zone: str = DEFAULT_ZONE) -> Column:
-    """struct(utc: the instant, local: the wall clock in `zone`, both as timestamps, precision, text)."""
-    return once(F.struct(iso.alias("iso"), source.alias("source")), lambda x: once(_placed(x["iso"], x["source"], zone), lambda y: _shown(y, zone)))
+def resolve(iso: Column, source: Column, zone: str = DEFAULT_ZONE, has_time: Column | None = None) -> Column:
+    """struct(utc: the instant, local: the wall clock in `zone`, both as timestamps, precision, text). has_time: whether a time of day was given."""
+    given = F.coalesce(source.isin(PRECISE_SOURCES), F.lit(False)) | F.coalesce(F.lit(False) if has_time is None else has_time, F.lit(False))
+    return once(F.struct(iso.alias("iso"), given.alias("given")), lambda x: once(_placed(x["iso"], x["given"], zone), lambda y: _shown(y, zone)))
 
 
-def _placed(iso: Column, source: Column, zone: str) -> Column:
+def _placed(iso: Column, given: Column, zone: str) -> Column:
     offset = F.regexp_extract(iso, r"([+-]\d{2}:\d{2})$", 1)
     plain = F.try_to_timestamp(F.regexp_replace(iso, r"[+-]\d{2}:\d{2}$", ""))
     plain = F.when(iso.rlike(r"^\d{4}-\d{2}-\d{2}"), plain)
     minutes = (F.substring(offset, 2, 2).try_cast("int") * 60 + F.substring(offset, 5, 2).try_cast("int")) * F.when(offset.startswith("-"), -1).otherwise(1)
     utc = F.when(offset == "", F.to_utc_timestamp(plain, zone)).otherwise(F.timestamp_micros(F.unix_micros(plain) - minutes.cast("long") * 60_000_000))
-    midnight = (offset == "") & (plain == F.date_trunc("day", plain)) & ~F.coalesce(source.isin(PRECISE_SOURCES), F.lit(False))
+    midnight = (offset == "") & (plain == F.date_trunc("day", plain)) & ~given
     precision = F.when(utc.isNull(), "unknown").when(midnight, "date").otherwise("datetime")
     return F.struct(utc.alias("utc"), F.from_utc_timestamp(utc, zone).alias("local"), precision.alias("precision"))
 

@@ -30,8 +30,8 @@ _DIRECTION = r"(?iU)\b(debited|withdrawn|sent|paid|dr)\b|\b(credited|deposited|r
 _METHOD = r"(?iU)\b(upi|imps|neft|rtgs|card|atm|net ?banking|wallet)\b"
 _ACCOUNT = r"(?iU)\ba/?c\.?\s*(?:no\.?)?\s*([x*]*\d{3,6})"
 
-TXN = "struct<transaction_id:string,timestamp:string,amount:double,amount_raw:string,currency:string,direction:string,sender:string,receiver:string,payment_method:string,status:string,description:string,extra:map<string,string>>"
-FIELDS = ["transaction_id", "timestamp", "amount", "amount_raw", "currency", "direction", "sender", "receiver", "payment_method", "status", "description", "extra"]
+TXN = "struct<transaction_id:string,timestamp:string,amount:double,amount_raw:string,currency:string,direction:string,sender:string,receiver:string,payment_method:string,status:string,description:string,extra:map<string,string>,has_time:boolean>"
+FIELDS = ["transaction_id", "timestamp", "amount", "amount_raw", "currency", "direction", "sender", "receiver", "payment_method", "status", "description", "extra", "has_time"]
 
 
 def normal_key(col: Column) -> Column:
@@ -59,7 +59,8 @@ def normalize_records(maps: Column) -> Column:
     """array<map> of raw records, keys in their order, as array<struct<txn, warnings>>.
 
     Of several columns of one field the first non-empty one counts; what isn't used is in `extra`. An amount
-    that can't be read is null, with its text in amount_raw and a warning.
+    that can't be read is null, with its text in amount_raw and a warning. has_time says whether the time is an
+    ISO one with a T: its midnight was given, where others' may stand for a date.
     """
     alias = {a: field for field, names in ALIASES.items() for a in names}
 
@@ -96,7 +97,7 @@ def normalize_records(maps: Column) -> Column:
             F.upper(F.coalesce(get("currency"), F.when(x["raw"].rlike(r"(?i)₹|rs|inr"), "INR"))).alias("currency"),
             F.coalesce(normal_direction(direction), direction).alias("direction"), get("sender").alias("sender"), get("receiver").alias("receiver"),
             F.upper(get("payment_method")).alias("payment_method"), get("status").alias("status"), get("description").alias("description"),
-            F.when(F.size(x["extra"]) > 0, x["extra"]).alias("extra"),
+            F.when(F.size(x["extra"]) > 0, x["extra"]).alias("extra"), F.when(parsed.isNotNull(), x["ts"].rlike(r"\dT\d")).alias("has_time"),
         )
         warn = F.array(
             F.when(x["raw"].isNotNull() & x["amount"].isNull(), F.concat(F.lit("unparseable amount: '"), x["raw"], F.lit("'"))),
@@ -124,7 +125,7 @@ def _alert(text: Column) -> Column:
         money["value"].alias("amount"), F.lit(None).cast("string").alias("amount_raw"), money["currency"].alias("currency"), direction.alias("direction"),
         F.when(credit, upi).otherwise(account).alias("sender"), F.when(credit, account).otherwise(upi).alias("receiver"),
         F.replace(F.upper(group(_METHOD, 1)), F.lit(" "), F.lit("")).alias("payment_method"), F.lit(None).cast("string").alias("status"),
-        text.alias("description"), F.lit(None).cast("map<string,string>").alias("extra"),
+        text.alias("description"), F.lit(None).cast("map<string,string>").alias("extra"), F.lit(None).cast("boolean").alias("has_time"),
     ).cast(TXN)
 
 

@@ -27,8 +27,8 @@ def _pick(*options: tuple[Column, str]) -> Column:
     return F.coalesce(*[F.when(v.isNotNull(), F.struct(v.alias("value"), F.lit(s).alias("source"))) for v, s in options])
 
 
-def _payment(txn: Column) -> Column:
-    """A payment with parties; a UPI id in the narration stands in for a missing counterparty."""
+def _payment(txn: Column, has_time: bool = True) -> Column:
+    """A payment with parties; a UPI id in the narration stands in for a missing counterparty. has_time: whether txn has that field."""
     upi = F.get(upi_ids(refang(F.coalesce(txn["description"], F.lit("")))), F.lit(0))
     blank = lambda c: F.coalesce(c, F.lit("")) == ""
     credit = F.coalesce(txn["direction"] == "credit", F.lit(False))
@@ -38,6 +38,7 @@ def _payment(txn: Column) -> Column:
         *[txn[n].alias(n) for n in ("transaction_id", "amount", "currency", "direction", "payment_method", "status")],
         make_party(sender).alias("sender"), make_party(receiver).alias("receiver"),
         F.coalesce(parse_datetime(txn["timestamp"]), txn["timestamp"]).alias("timestamp"), txn["description"].alias("description"),
+        (txn["has_time"] if has_time else F.lit(None).cast("boolean")).alias("has_time"),
     )
 
 
@@ -74,7 +75,8 @@ def extract(evidence: DataFrame, block: list[str] = (), allow: list[str] = ()) -
     df = df.withColumn("content", content)
 
     raw_txns = F.when(kind == "transaction", F.col("transactions")).when(F.col("ocr.transaction").isNotNull(), F.array("ocr.transaction"))
-    df = df.withColumn("txns", F.transform(raw_txns, _payment))
+    flagged = "has_time" in evidence.schema["transactions"].dataType.elementType.names  # evidence of older stores isn't
+    df = df.withColumn("txns", F.transform(raw_txns, lambda t: _payment(t, flagged)))
     first = F.get("txns", F.lit(0))
     none = F.lit(None).cast("string")
     chat_party = lambda i: F.when(F.size("participants") > i, make_party(none, F.get("participants", F.lit(i))))

@@ -32,7 +32,7 @@ CHANNELS = {"sms": "SMS", "email": "Email", "chat": "Chat message"}
 MONEY = "struct<value:double,currency:string,direction:string>"
 CONTACTS = "struct<phone_numbers:array<string>,emails:array<string>,upi_ids:array<string>,reference_numbers:array<string>>"
 DETAILS = f"struct<platform:string,contacts:{CONTACTS},amounts_mentioned:array<struct<value:double,currency:string,raw:string>>,score:int,verdict:string,domain:string,transaction_id:string,payment_method:string,status:string,follows_suspicious_contact:boolean>"
-_EVENT = f"struct<event_type:string,stage:string,title:string,description:string,iso:string,sender:{PARTY},receiver:{PARTY},amount:{MONEY},url:string,indicators:array<string>,details:{DETAILS}>"
+_EVENT = f"struct<event_type:string,stage:string,title:string,description:string,iso:string,sender:{PARTY},receiver:{PARTY},amount:{MONEY},url:string,indicators:array<string>,details:{DETAILS},has_time:boolean>"
 EVENTS = f"case_id string, sequence int, event_type string, stage string, title string, description string, evidence_id string, evidence_type string, timestamp string, time_precision string, severity string, actors struct<from:{PARTY},to:{PARTY}>, amount {MONEY}, url string, indicators array<string>, linked_evidence array<string>, details {DETAILS}, since_previous string"
 
 
@@ -43,8 +43,8 @@ def _table(col: Column, values: dict[str, str] | list[str]) -> Column:
 
 def _event(**fields: Column) -> Column:
     """An event struct; fields that aren't given are null."""
-    names = ["event_type", "stage", "title", "description", "iso", "sender", "receiver", "amount", "url", "indicators", "details"]
-    types = {"sender": PARTY, "receiver": PARTY, "amount": MONEY, "indicators": "array<string>", "details": DETAILS}
+    names = ["event_type", "stage", "title", "description", "iso", "sender", "receiver", "amount", "url", "indicators", "details", "has_time"]
+    types = {"sender": PARTY, "receiver": PARTY, "amount": MONEY, "indicators": "array<string>", "details": DETAILS, "has_time": "boolean"}
     return F.struct(*[fields.get(n, F.lit(None)).cast(types.get(n, "string")).alias(n) for n in names])
 
 
@@ -54,7 +54,7 @@ def _details(**fields: Column) -> Column:
     return F.struct(*[fields.get(n, F.lit(None)).cast(types.get(n, "string")).alias(n) for n in names]).cast(DETAILS)
 
 
-def _payment_event(txn: Column) -> Column:
+def _payment_event(txn: Column, has_time: bool = True) -> Column:
     status = F.lower(F.coalesce(txn["status"], F.lit("")))
     direction = F.coalesce(F.when(txn["direction"] != "", txn["direction"]), F.lit("debit"))
     money, sender, receiver = format_money(txn["amount"], txn["currency"]), party_label(txn["sender"]), party_label(txn["receiver"])
@@ -66,6 +66,7 @@ def _payment_event(txn: Column) -> Column:
         description=capitalize_first(F.when(words == "", "transaction").otherwise(words)), iso=txn["timestamp"], sender=txn["sender"], receiver=txn["receiver"],
         amount=F.struct(txn["amount"].alias("value"), txn["currency"].alias("currency"), direction.alias("direction")),
         details=_details(transaction_id=txn["transaction_id"], payment_method=txn["payment_method"], status=txn["status"]),
+        **{"has_time": txn["has_time"]} if has_time else {},
     )
 
 
@@ -102,8 +103,9 @@ def events_of(records: DataFrame) -> DataFrame:
         details=_details(platform=platform, contacts=F.col("contacts"), amounts_mentioned=message["amounts_mentioned"]),
     )
     none = F.lit(None).cast(PARTY)
+    flagged = "has_time" in records.schema["transactions"].dataType.elementType.names  # records of older stores aren't
     found = (
-        F.when(F.size("transactions") > 0, F.transform("transactions", _payment_event))
+        F.when(F.size("transactions") > 0, F.transform("transactions", lambda t: _payment_event(t, flagged)))
         .when(F.col("evidence_type") == "url", F.transform("urls", lambda u: _link_event(u, F.col("timestamp"), none)))
         .when(message.isNotNull(), F.concat(F.array(said), F.transform(bad, lambda u: _link_event(u, F.col("timestamp"), F.col("sender")))))
     )
@@ -141,7 +143,7 @@ def _link(events: DataFrame) -> DataFrame:
 
 def build_timeline(records: DataFrame, zone: str = DEFAULT_ZONE) -> tuple[DataFrame, DataFrame]:
     """Events (columns of EVENTS) in order within each case, and a summary row for each case."""
-    events = events_of(records).withColumn("at", resolve(F.col("iso"), F.col("time_source"), zone))
+    events = events_of(records).withColumn("at", resolve(F.col("iso"), F.col("time_source"), zone, F.col("has_time")))
     events = _link(events)
     # undated last; a date without a time is the end of its day; then stages, then the input's order
     end = F.when(F.col("at.precision") == "date", F.expr("at.utc + INTERVAL '1' DAY - INTERVAL '1' MICROSECOND")).otherwise(F.col("at.utc"))

@@ -138,6 +138,16 @@ def test_conflicting_references(spark):
     assert {"amount_mismatch", "payee_mismatch", "status_mismatch", "timestamp_mismatch"} <= {r.issue_type for r in issues.collect()}
 
 
+def test_a_given_midnight_is_a_time(spark):
+    pay = lambda date: json.dumps({"txn_id": "T1", "amount": "5", "to": "a@ybl", "date": date})
+    dates_given = ["2024-01-11T00:00:00", "2024-01-11", "2024-01-11 00:00:00", "11/01/2024", "2024-01-11T00:00:01"]
+    records = settle(extract(settle(ingest(raw_rows(spark, [{"case_id": str(i), "json": pay(d)} for i, d in enumerate(dates_given)])))))
+    got = lambda r: [x.time_precision for x in build_timeline(r)[0].orderBy("case_id").collect()]
+    assert got(records) == ["datetime", "date", "date", "date", "datetime"]
+    older = records.withColumn("transactions", F.transform("transactions", lambda t: t.dropFields("has_time")))
+    assert got(older) == ["date", "date", "date", "date", "datetime"]
+
+
 def test_redaction(spark, case):
     out = redact(case[1])
     dump = json.dumps([r.asDict(True) for r in out.collect()])
