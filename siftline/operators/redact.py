@@ -247,7 +247,7 @@ class Redactor:
             new[n] = self.hide(c, rows, kinds) if n == "identifier" and any(kinds) else self._raw(cell, rows, kinds) if n == "raw" and any(kinds) else self.array(c, rows, n)
         if any(kinds):  # an identifier of no sensitive kind is a text like any other
             plain = [i for i, k in enumerate(kinds) if not k]
-            new["identifier"] = _merged(new["identifier"], self.array(cell["identifier"].take(pa.array(plain)), rows[plain]), plain)
+            new["identifier"] = _merged(new["identifier"], self.array(cell["identifier"].take(pa.array(plain, pa.int64())), rows[np.array(plain, np.int64)]), plain)
         return pa.StructArray.from_arrays([new[n] for n in names], fields=list(arr.type), mask=arr.is_null())
 
     def _raw(self, cell: dict[str, pa.Array], rows: np.ndarray, kinds: list[str | None]) -> pa.Array:
