@@ -22,16 +22,21 @@ def _state(edges: DataFrame) -> tuple:
     return r["n"], r["s"]
 
 
-def _with_least(edges: DataFrame, most: int) -> DataFrame:
-    """edges (a, b) with m, the smallest b of each a; an a with more than `most` rows is a hub."""
-    low = edges.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("d"))
-    if not low.filter(F.col("d") > most).limit(1).count():
-        return edges.join(low.drop("d"), edges["a"] == F.col("u")).select("a", "b", "m")
-    hubs = F.broadcast(low.filter(F.col("d") > most).select("u", "m"))
+def _with_least(edges: DataFrame, rows: int, most: int) -> DataFrame:
+    """edges (a, b; `rows` of them) with m, the smallest b of each a; an a with more than `most` rows is a hub."""
+
+    def spread(part: DataFrame) -> DataFrame:  # at most `most` rows of an a
+        near = part.groupBy("a").agg(F.min("b").alias("m"), F.collect_list("b").alias("bs"))
+        return near.select("a", F.explode("bs").alias("b"), "m")
+
+    if rows <= most:
+        return spread(edges)
+    hubs = edges.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("d")).filter(F.col("d") > most).select("u", "m")
+    if not hubs.limit(1).count():
+        return spread(edges)
+    hubs = F.broadcast(hubs)
     of_hubs = edges.join(hubs, edges["a"] == hubs["u"]).select("a", "b", "m")
-    rest = edges.join(hubs.select("u"), edges["a"] == hubs["u"], "left_anti")
-    others = low.filter(F.col("d") <= most).select("u", "m")
-    return of_hubs.unionByName(rest.join(others, rest["a"] == others["u"]).select("a", "b", "m"))
+    return of_hubs.unionByName(spread(edges.join(hubs, edges["a"] == hubs["u"], "left_anti")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -40,15 +45,17 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _state(now)
     while before[0]:
-        most = max(HUB, 2 * before[0] // MOST_HUBS)
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # large star: larger neighbours of a go to the smallest node around a
-        large = _with_least(both, most).filter("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
+        n = before[0]
+        most = max(HUB, 2 * n // MOST_HUBS)
+        both = now.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
+        # large star: larger neighbours of a go to the smallest node around a; settled, as its plan would be part of all that follow
+        large = cut(_with_least(both, 2 * n, most).filter("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")))
         # small star: a and its smaller neighbours go to the smallest of them
-        near = _with_least(large, most)
-        small = near.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(near.select("a", F.col("m").alias("b"))).distinct()
+        near = _with_least(large, n, most)
+        ends = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+        small = near.select(F.explode(ends).alias("e")).select("e.*").filter("a <> b").distinct()
         old, now = now, cut(small)
-        discard(old)
+        discard(old, large)
         after = _state(now)
         if after == before:
             break

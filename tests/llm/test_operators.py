@@ -418,6 +418,19 @@ def test_components(spark, monkeypatch, hub):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_plans_of_components_stay_small(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HUB", 3)  # the driver keeps the plans of all rounds, which were longest with hubs
+    context, store = spark._jsparkSession.sparkContext(), spark._jsparkSession.sharedState().statusStore()
+    edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(40, 400 + i) for i in range(30)], "a long, b long")
+    context.listenerBus().waitUntilEmpty()
+    before = store.executionsCount()
+    assert graph.components(edges).count() == 81
+    context.listenerBus().waitUntilEmpty()
+    ran = store.executionsList()
+    plans = [ran.apply(i).physicalPlanDescription() for i in range(before, ran.size())]
+    assert len(plans) > 5 and max(map(len, plans)) < 40_000
+
+
 # ---------------------------------------------------------------------- 6 BPE
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
